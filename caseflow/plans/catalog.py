@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from caseflow.plans import catalog_events  # noqa: F401
+from caseflow.plans import catalog_events, catalog_cases  # noqa: F401

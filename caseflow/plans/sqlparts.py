@@ -33,7 +33,7 @@ LOG_SQL = {
         CAST(l_suppkey AS VARCHAR) AS resource, l_extendedprice AS cost,
         o_orderdate + INTERVAL 365 DAY AS deadline, CAST(l_partkey % 7 AS VARCHAR) AS group_code,
         o_orderpriority AS priority, o_orderstatus AS purpose_code, l_returnflag AS intervention_type,
-        l_partkey AS partkey, l_suppkey AS suppkey
+        l_partkey AS partkey, l_suppkey AS suppkey, l_quantity AS quantity, l_discount AS discount
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
 }
 

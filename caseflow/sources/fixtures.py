@@ -97,6 +97,8 @@ def log_order(spark: SparkSession, sf_dir: str):
         F.col("l_returnflag").alias("intervention_type"),
         F.col("l_partkey").alias("partkey"),
         F.col("l_suppkey").alias("suppkey"),
+        F.col("l_quantity").alias("quantity"),
+        F.col("l_discount").alias("discount"),
     )
     return df, ORDER_COLS, SLA_HOURS["log_order"]
 
