@@ -164,7 +164,9 @@ def build_prep_pipeline(numeric: list[str], categorical: list[str], features_col
         ohe = [f"{c}__ohe" for c in categorical]
         stages.append(StringIndexer(inputCols=categorical, outputCols=idx, handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep"))
+        # the indexer already maps unseen values to the extra last index, which
+        # dropLast removes: one slot per train category, unseen → all zeros
+        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="error"))
     else:
         ohe = []
     stages.append(VectorAssembler(inputCols=list(numeric) + ohe, outputCol=features_col, handleInvalid="keep"))
