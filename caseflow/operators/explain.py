@@ -269,12 +269,13 @@ def shap_dependence(long: DataFrame, feature: str | None = None, id_col: str = "
 
 def shap_describe(long: DataFrame, feature: str) -> DataFrame:
     """Descriptive statistics of one feature's SHAP values."""
+    from caseflow.functions.quantiles import exact_quantiles
     s = long.where(F.col("feature") == feature)
-    q = F.percentile("shap", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return s.agg(F.count("shap").alias("count"), F.avg("shap").alias("mean"), F.stddev_samp("shap").alias("std"),
-                 F.min("shap").alias("min"), q.alias("_q"), F.max("shap").alias("max")) \
-        .select(F.lit(feature).alias("feature"), "count", "mean", "std", "min", F.col("_q")[0].alias("p25"),
-                F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
+    m = s.agg(F.count("shap").alias("count"), F.avg("shap").alias("mean"), F.stddev_samp("shap").alias("std"),
+              F.min("shap").alias("min"), F.max("shap").alias("max"))
+    q = exact_quantiles(s, "shap", [0.25, 0.5, 0.75], names=["p25", "p50", "p75"])
+    return m.crossJoin(q).select(F.lit(feature).alias("feature"), "count", "mean", "std", "min",
+                                 "p25", "p50", "p75", "max")
 
 
 def shap_local(long: DataFrame, top_k: int = 15, id_col: str = "case_id") -> DataFrame:

@@ -12,6 +12,7 @@ from typing import Callable, Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
+from caseflow.functions.quantiles import exact_quantiles
 from caseflow.functions.roles import CANONICAL, LogCols
 from caseflow.functions.timecols import DAY_US, HOUR_US, micros_between, micros_to_days
 from caseflow.operators.sequence import enrich
@@ -49,10 +50,8 @@ def boxplot_fence(df: DataFrame, cols: LogCols = CANONICAL) -> DataFrame:
     ``quantile_cont``).  The result is exactly one row, so it is safe to
     broadcast.
     """
-    q = case_lead_micros(df, cols).agg(
-        F.percentile(F.col("lead_us").cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    return q.select(F.col("q")[0].alias("q1_us"), F.col("q")[1].alias("q3_us")) \
-        .withColumn("fence_us", F.col("q3_us") + F.lit(1.5) * (F.col("q3_us") - F.col("q1_us")))
+    q = exact_quantiles(case_lead_micros(df, cols), "lead_us", [0.25, 0.75], names=["q1_us", "q3_us"])
+    return q.withColumn("fence_us", F.col("q3_us") + F.lit(1.5) * (F.col("q3_us") - F.col("q1_us")))
 
 
 def label_boxplot(df: DataFrame, cols: LogCols = CANONICAL, with_prefix: bool = True) -> DataFrame:
@@ -124,7 +123,7 @@ def above_median_target(cases: DataFrame, col: str = "throughput_hours",
 
     The median is a one-row aggregate joined by broadcast (size proven: 1 row).
     """
-    med = cases.agg(F.median(col).alias("_median"))
+    med = exact_quantiles(cases, col, [0.5], names=["_median"])
     out = cases.crossJoin(F.broadcast(med))
     return out.withColumn(name, F.coalesce(F.col(col) > F.col("_median"), F.lit(False)).cast("int")) \
         .drop("_median")

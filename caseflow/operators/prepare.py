@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import NumericType
 
+from caseflow.functions.quantiles import exact_quantiles
+
 SPLIT = "split"
 DOUBLE_MAX = 1.7976931348623157e308
 
@@ -74,8 +76,11 @@ def split_summary(df: DataFrame, label: str) -> DataFrame:
 
 def train_medians(df: DataFrame, numeric: list[str]) -> DataFrame:
     """One row: the train median of each numeric column (null if all null)."""
-    train = df.where(F.col(SPLIT) == "train")
-    return train.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in numeric])
+    train = df.where(F.col(SPLIT) == "train").select(*[F.col(c).cast("double").alias(c) for c in numeric])
+    long = train.unpivot([], numeric, "column_name", "value")
+    med = exact_quantiles(long, "value", [0.5], ["column_name"], ["m"])
+    # pivot over the known column list: one row, a column per feature (null if all null)
+    return med.groupBy().pivot("column_name", numeric).agg(F.first("m"))
 
 
 def impute_numeric(df: DataFrame, numeric: list[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql.types import (BooleanType, DataType, DateType, DecimalType, Dou
                                IntegerType, LongType, NumericType, ShortType, ByteType, StringType,
                                TimestampNTZType, TimestampType)
 
+from caseflow.functions.quantiles import exact_quantiles
 from caseflow.functions.roles import CANONICAL, LogCols
 from caseflow.functions.timecols import micros_between, micros_to_hours
 
@@ -110,13 +111,12 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFra
     """Count, mean, std (n−1), min, quartiles (linear), max per numeric column."""
     columns = columns or numeric_columns(df)
     long = _long(df, columns, "double")
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return long.groupBy("column_name").agg(
+    moments = long.groupBy("column_name").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        q.alias("_q"), F.max("value").alias("max"),
-    ).select("column_name", "count", "mean", "std", "min",
-             F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max")
+        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["column_name"], ["p25", "p50", "p75"])
+    return moments.join(q, "column_name", "left").select(
+        "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def case_throughput_hours(df: DataFrame, cols: LogCols = CANONICAL) -> DataFrame:
@@ -128,22 +128,18 @@ def case_throughput_hours(df: DataFrame, cols: LogCols = CANONICAL) -> DataFrame
 def throughput_describe(df: DataFrame, cols: LogCols = CANONICAL) -> DataFrame:
     """Distribution of case throughput (hours) with the 50/90/95 % points."""
     t = case_throughput_hours(df, cols)
-    q = F.percentile("throughput_hours", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
-    return t.agg(F.count("throughput_hours").alias("n_cases"), F.avg("throughput_hours").alias("mean"),
-                 F.stddev_samp("throughput_hours").alias("std"), F.min("throughput_hours").alias("min"),
-                 q.alias("_q"), F.max("throughput_hours").alias("max")) \
-        .select("n_cases", "mean", "std", "min", F.col("_q")[0].alias("p50"), F.col("_q")[1].alias("p90"),
-                F.col("_q")[2].alias("p95"), "max")
+    m = t.agg(F.count("throughput_hours").alias("n_cases"), F.avg("throughput_hours").alias("mean"),
+              F.stddev_samp("throughput_hours").alias("std"), F.min("throughput_hours").alias("min"),
+              F.max("throughput_hours").alias("max"))
+    q = exact_quantiles(t, "throughput_hours", [0.5, 0.9, 0.95], names=["p50", "p90", "p95"])
+    return m.crossJoin(q).select("n_cases", "mean", "std", "min", "p50", "p90", "p95", "max")
 
 
 def boxplot_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Quartiles, whisker fences (1.5·IQR) and outlier count per column."""
     columns = columns or numeric_columns(df)
     long = _long(df, columns, "double")
-    q = long.groupBy("column_name").agg(
-        F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select("column_name", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"))
+    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["column_name"], ["q1", "median", "q3"])
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \
         .withColumn("lower_fence", F.col("q1") - 1.5 * F.col("iqr")) \
         .withColumn("upper_fence", F.col("q3") + 1.5 * F.col("iqr"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caseflow.functions.ordering import order_keys, order_struct
+from caseflow.functions.quantiles import exact_quantiles
 from caseflow.functions.roles import CANONICAL, LogCols
 from caseflow.functions.timecols import micros_between, micros_to_days
 from caseflow.operators.labels import LATE
@@ -102,13 +103,13 @@ def trace_stats(df: DataFrame, cols: LogCols = CANONICAL, top_n: int | None = 30
     """Per final trace (variant): cases, mean and median lead time (days)."""
     t = case_traces(df, cols)
     mean = micros_to_days(F.avg("lead_us"))
-    med = micros_to_days(F.median("lead_us"))
+    med = micros_to_days(F.col("_med"))
     if digits is not None:
         mean, med = F.round(mean, digits), F.round(med, digits)
-    out = (t.groupBy("trace")
-             .agg(F.count(F.lit(1)).alias("n_cases"), mean.alias("mean_lead_time"),
-                  med.alias("median_lead_time"))
-             .orderBy(F.col("mean_lead_time").desc(), F.col("trace").asc()))
+    stats = t.groupBy("trace").agg(F.count(F.lit(1)).alias("n_cases"), mean.alias("mean_lead_time"))
+    meds = exact_quantiles(t, "lead_us", [0.5], ["trace"], ["_med"])
+    out = (stats.join(meds, "trace").select("trace", "n_cases", "mean_lead_time", med.alias("median_lead_time"))
+                .orderBy(F.col("mean_lead_time").desc(), F.col("trace").asc()))
     return out.limit(top_n) if top_n else out
 
 
@@ -122,12 +123,13 @@ def transition_stats(enriched: DataFrame, top_n: int | None = 30, scale: float =
     """
     v = enriched.where(F.col("transition").isNotNull() & F.col(time_col).isNotNull())
     mean = F.avg(time_col) * F.lit(scale)
-    med = F.median(time_col) * F.lit(scale)
+    med = F.col("_med") * F.lit(scale)
     if digits is not None:
         mean, med = F.round(mean, digits), F.round(med, digits)
-    out = (v.groupBy("transition")
-             .agg(F.count(F.lit(1)).alias(N), mean.alias(mean_name), med.alias(median_name))
-             .orderBy(F.col(mean_name).desc(), F.col("transition").asc()))
+    stats = v.groupBy("transition").agg(F.count(F.lit(1)).alias(N), mean.alias(mean_name))
+    meds = exact_quantiles(v, time_col, [0.5], ["transition"], ["_med"])
+    out = (stats.join(meds, "transition").select("transition", N, mean_name, med.alias(median_name))
+                .orderBy(F.col(mean_name).desc(), F.col("transition").asc()))
     return out.limit(top_n) if top_n else out
 
 
