@@ -77,13 +77,17 @@ def _deadline_expr(df: DataFrame, cols: LogCols) -> Column:
 
 
 def label_deadline(df: DataFrame, cols: LogCols = CANONICAL, with_prefix: bool = True) -> DataFrame:
-    """L3: late iff the last event is after the (latest) desired end date."""
-    w = Window.partitionBy(cols.case)
-    last_ts = F.max(cols.timestamp).over(w)
-    last_dl = F.max(_deadline_expr(df, cols)).over(w)
-    out = enrich(df, cols, with_prefix=with_prefix)
+    """L3: late iff the last event is after the (latest) desired end date.
+
+    Both per-case maxima come from the enrichment's own partitioning (no
+    extra shuffle); unparsable or missing deadlines compare false.
+    """
+    src = df.withColumn("_deadline", _deadline_expr(df, cols))
+    out = enrich(src, cols, with_prefix=with_prefix, case_max=[cols.timestamp, "_deadline"])
+    last_ts, last_dl = F.col(f"_cmax_{cols.timestamp}"), F.col("_cmax__deadline")
     has_case = F.col(cols.case).isNotNull()
-    return out.withColumns(_label_cols(has_case & (last_ts > last_dl), micros_between(last_dl, last_ts)))
+    out = out.withColumns(_label_cols(has_case & (last_ts > last_dl), micros_between(last_dl, last_ts)))
+    return out.drop("_deadline", f"_cmax_{cols.timestamp}", "_cmax__deadline")
 
 
 # ---------------------------------------------------------------- case targets

@@ -142,11 +142,16 @@ def variants(df: DataFrame, cols: LogCols = CANONICAL, top_n: int | None = 10,
     return out.limit(top_n) if top_n else out
 
 
-def directly_follows(df: DataFrame, cols: LogCols = CANONICAL) -> DataFrame:
-    """Directly-follows graph — count of (activity, next activity) pairs."""
-    nxt = F.lead(cols.activity).over(case_window(cols))
-    pairs = df.where(F.col(cols.case).isNotNull()) \
-        .select(F.col(cols.activity).alias("src"), nxt.alias("dst"))
+def directly_follows(df: DataFrame, cols: LogCols = CANONICAL, hot_case_rows: int | None = None) -> DataFrame:
+    """Directly-follows graph — count of (activity, next activity) pairs.
+
+    The next activity comes from the skew-safe next-event operator; the
+    pair counts are map-side combined before their shuffle.
+    """
+    from caseflow.operators.nextevent import HOT_CASE_ROWS, with_next_event
+    nx = with_next_event(df.where(F.col(cols.case).isNotNull()), cols, carry=[cols.activity],
+                         hot_case_rows=hot_case_rows or HOT_CASE_ROWS, with_case_span=False)
+    pairs = nx.select(F.col(cols.activity).alias("src"), F.col(f"_nx_{cols.activity}").alias("dst"))
     return (pairs.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
                  .groupBy("src", "dst").agg(F.count(F.lit(1)).alias(N))
                  .orderBy(F.col(N).desc(), "src", "dst"))

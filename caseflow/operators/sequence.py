@@ -93,24 +93,38 @@ def add_lead_time(df: DataFrame, cols: LogCols = CANONICAL, name: str = "lead_ti
 
 
 def enrich(df: DataFrame, cols: LogCols = CANONICAL, with_prefix: bool = True,
-           keep_micros: bool = False) -> DataFrame:
+           keep_micros: bool = False, hot_case_rows: int | None = None,
+           case_max: list[str] | None = None) -> DataFrame:
     """Prefix trace, transition, time to next event and lead time in one pass.
 
     ``with_prefix=False`` skips the prefix list, whose size is quadratic in
-    the case length; rankings over whole cases never need it.
+    the case length, and uses the skew-safe next-event operator (hot cases
+    split into time chunks); rankings over whole cases never need prefixes.
+    ``case_max`` columns get their per-case maximum as ``_cmax_<c>``.
     """
-    new: dict[str, Column] = {}
     if with_prefix:
-        new["trace_list"] = prefix_list_col(cols)
-    new["transition"] = transition_col(cols)
-    new["_next_us"] = next_micros_col(cols)
-    new["_lead_us"] = lead_micros_col(cols)
-    out = df.withColumns(new)
-    extra = {"time_to_next": micros_to_days(F.col("_next_us")),
-             "lead_time": micros_to_days(F.col("_lead_us"))}
-    if with_prefix:
-        extra = {"trace": prefix_text_col(F.col("trace_list")), **extra}
-    out = out.withColumns(extra)
+        new: dict[str, Column] = {"trace_list": prefix_list_col(cols),
+                                  "transition": transition_col(cols),
+                                  "_next_us": next_micros_col(cols),
+                                  "_lead_us": lead_micros_col(cols)}
+        for c in case_max or []:
+            new[f"_cmax_{c}"] = F.when(_has_case(cols), F.max(c).over(case_partition(cols)))
+        out = df.withColumns(new)
+        out = out.withColumn("trace", prefix_text_col(F.col("trace_list")))
+    else:
+        from caseflow.operators.nextevent import HOT_CASE_ROWS, with_next_event
+        out = with_next_event(df, cols, carry=[cols.status, cols.timestamp],
+                              hot_case_rows=hot_case_rows or HOT_CASE_ROWS, case_max=case_max)
+        gap = micros_between(F.col(cols.timestamp), F.col(f"_nx_{cols.timestamp}"))
+        out = out.withColumns({
+            "transition": F.when(_has_case(cols), F.concat(F.col(cols.status), F.lit(SEP),
+                                                            F.col(f"_nx_{cols.status}"))),
+            "_next_us": F.when(~_has_case(cols), F.lit(None).cast("bigint"))
+                         .when(~F.col("_has_next"), F.lit(0).cast("bigint")).otherwise(gap),
+            "_lead_us": F.when(_has_case(cols), micros_between(F.col("_case_min"), F.col("_case_max"))),
+        }).drop(f"_nx_{cols.status}", f"_nx_{cols.timestamp}", "_has_next", "_case_min", "_case_max")
+    out = out.withColumns({"time_to_next": micros_to_days(F.col("_next_us")),
+                           "lead_time": micros_to_days(F.col("_lead_us"))})
     return out if keep_micros else out.drop("_next_us", "_lead_us")
 
 
