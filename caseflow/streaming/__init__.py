@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The analysed application reads whole event-log files; it has no watermark,
+window, state or late-data handling, so there is no streaming operator to
+rebuild.  Every operator in this package is a plain DataFrame → DataFrame
+function and therefore also runs inside ``foreachBatch`` on a micro-batch,
+but no streaming-only operator is added.
+"""
