@@ -15,43 +15,48 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 LOGLOSS_EPS = 2.220446049250313e-16
 
 
-def score_table(df: DataFrame, y: str = "y", score: str = "score", n_buckets: int = 1 << 16) -> DataFrame:
-    """Per distinct score: ``pos, neg, neg_below, pos_below`` plus totals ``P, N``."""
+def score_table(df: DataFrame, y: str = "y", score: str = "score", n_buckets: int = 1 << 16,
+                keys: list[str] | None = None) -> DataFrame:
+    """Per (keys, distinct score): ``pos, neg, neg_below, pos_below`` plus totals ``P, N``."""
+    keys = list(keys or [])
     s = F.col(score).cast("double")
-    per = df.groupBy(s.alias("score")).agg(F.count_if(F.col(y) == 1).alias("pos"),
-                                           F.count_if(F.col(y) != 1).alias("neg"))
+    per = df.groupBy(*keys, s.alias("score")).agg(F.count_if(F.col(y) == 1).alias("pos"),
+                                                  F.count_if(F.col(y) != 1).alias("neg"))
     b = F.least(F.greatest(F.floor(F.col("score") * n_buckets), F.lit(-1)), F.lit(n_buckets)).cast("int")
     per = per.withColumn("_b", b)
-    tot = per.groupBy("_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    run = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # at most n_buckets + 2 rows: a proven bound for the broadcast below
+    tot = per.groupBy(*keys, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
+    grp = Window.partitionBy(*keys)
+    run = grp.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.withColumns({"_op": F.coalesce(F.sum("_bp").over(run), F.lit(0)),
                            "_on": F.coalesce(F.sum("_bn").over(run), F.lit(0)),
-                           "P": F.sum("_bp").over(Window.partitionBy()),
-                           "N": F.sum("_bn").over(Window.partitionBy())})
-    per = per.join(F.broadcast(tot.select("_b", "_op", "_on", "P", "N")), "_b")
-    w = Window.partitionBy("_b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    return per.select("score", "pos", "neg",
+                           "P": F.sum("_bp").over(grp), "N": F.sum("_bn").over(grp)})
+    tot = tot.select(*keys, "_b", "_op", "_on", "P", "N")
+    # without keys: at most n_buckets + 2 rows, a proven bound for the broadcast
+    per = per.join(F.broadcast(tot) if not keys else tot, keys + ["_b"])
+    w = Window.partitionBy(*keys, "_b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    return per.select(*keys, "score", "pos", "neg",
                       (F.col("_on") + F.coalesce(F.sum("neg").over(w), F.lit(0))).alias("neg_below"),
                       (F.col("_op") + F.coalesce(F.sum("pos").over(w), F.lit(0))).alias("pos_below"),
                       "P", "N")
 
 
-def auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
-    """ROC AUC = Σ pos·(neg_below + neg/2) / (P·N); null with one class."""
-    t = score_table(df, y, score)
-    return t.agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)).alias("_s"),
-                 F.max("P").alias("P"), F.max("N").alias("N")) \
-        .select(F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("_s") / (F.col("P") * F.col("N")))
+def auc(df: DataFrame, y: str = "y", score: str = "score", keys: list[str] | None = None) -> DataFrame:
+    """ROC AUC = Σ pos·(neg_below + neg/2) / (P·N); null with one class.  One row per key group."""
+    keys = list(keys or [])
+    t = score_table(df, y, score, keys=keys)
+    return t.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)).alias("_s"),
+                                F.max("P").alias("P"), F.max("N").alias("N")) \
+        .select(*keys, F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("_s") / (F.col("P") * F.col("N")))
                 .alias("auc"))
 
 
-def roc_points(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
+def roc_points(df: DataFrame, y: str = "y", score: str = "score", keys: list[str] | None = None) -> DataFrame:
     """E5: one point per distinct threshold t: rates of scores ≥ t."""
-    t = score_table(df, y, score)
+    keys = list(keys or [])
+    t = score_table(df, y, score, keys=keys)
     tp = F.col("P") - F.col("pos_below")
     fp = F.col("N") - F.col("neg_below")
-    return t.select(F.col("score").alias("threshold"),
+    return t.select(*keys, F.col("score").alias("threshold"),
                     F.when(F.col("N") > 0, fp / F.col("N")).alias("fpr"),
                     F.when(F.col("P") > 0, tp / F.col("P")).alias("tpr"))
 

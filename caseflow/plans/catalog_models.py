@@ -78,14 +78,7 @@ def q_model_comparison(spark, sf_dir):
     scored = parts[0].unionByName(parts[1]).unionByName(parts[2])
     rep = E.classification_report(scored, keys=["model", "split"]).where(F.col("label") == "1") \
         .select("model", "split", "precision", "recall", "f1_score")
-    aucs = []
-    for kind in ("gbt", "forest", "logit"):
-        for sp in ("val", "test"):
-            a = E.auc(scored.where((F.col("model") == kind) & (F.col("split") == sp)))
-            aucs.append(a.select(F.lit(kind).alias("model"), F.lit(sp).alias("split"), "auc"))
-    auc = aucs[0]
-    for a in aucs[1:]:
-        auc = auc.unionByName(a)
+    auc = E.auc(scored, keys=["model", "split"])
     out = rep.join(auc, ["model", "split"])
     val_auc = out.where(F.col("split") == "val").select("model", F.col("auc").alias("_val_auc"))
     return out.join(val_auc, "model").orderBy(F.col("_val_auc").desc(), "model", "split").drop("_val_auc")

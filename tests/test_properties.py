@@ -119,3 +119,13 @@ def test_impute_median_and_mode(spark):
 
 def test_brute_force_itertools_available():
     assert list(itertools.combinations([1, 2, 3], 2))
+
+
+def test_grouped_auc_equals_per_group(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(rng.integers(0, 2)), float(np.round(rng.random(), 2)), "ab"[i % 2]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, y int, score double, g string")
+    grouped = {r["g"]: r["auc"] for r in E.auc(df, keys=["g"]).collect()}
+    for g in "ab":
+        sub = [(y, s) for _, y, s, gg in rows if gg == g]
+        assert abs(grouped[g] - _auc_brute([a for a, _ in sub], [b for _, b in sub])) < 1e-12
