@@ -130,7 +130,7 @@ def q_shap_linear_model(spark, sf_dir):
 
 # ---------------------------------------------------------------- SQL-checkable SHAP (fixed coefficients)
 
-# The coefficients of the reference linear explainer used for the SQL check.
+# Coefficients chosen here (not learned) for a linear explainer that SQL can recompute exactly.
 FIXED_COEF = [0.4, -0.3, 0.01, 0.25]
 FIXED_INTERCEPT = -1.0
 
