@@ -12,7 +12,9 @@ aggregation.
 
 *Suffix arrays.*  What remains are different segments with the same name: the
 rims of shared passages (and segments that may repeat themselves).  They are dealt out by name, packed into blocks, and a
-suffix array of each block is built by grouping suffixes by Lyndon prefix:
+after
+cutting each to what it may share (see :func:`trimmed`) a suffix array of each
+block is built by grouping suffixes by Lyndon prefix:
 groups are processed in descending order, each extends the prefixes of its
 members' previous smaller positions, and a final pass emits the order inside
 each group by following those pointers, with no recursion and no renaming.
@@ -40,7 +42,7 @@ from caseflow.llm import common as C
 GRAM = 20
 LONGEST_RUN = 4096      # windows in one segment; longer runs are cut, which changes no result
 BLOCK_BYTES = 1 << 15   # a block is closed beyond this
-BLOCK_LIMIT = 1 << 19   # a single name beyond this takes the grouped minimum
+BLOCK_LIMIT = 1 << 21   # a single name beyond this takes the grouped minimum
 LAST_ID = (1 << 63) - 1
 
 
@@ -185,14 +187,14 @@ def _window_names(g: np.ndarray, length: int) -> np.ndarray:
 
 def segment_table(texts: list[bytes], length: int):
     """Segments of several texts: text index, offset, windows, name, two content hashes,
-    and whether the naming gram occurs twice (only then can the segment repeat itself)."""
+    and the naming gram's offset, or -1 if it occurs twice (only then can the segment repeat itself)."""
     joined = b" ".join(texts) + b" "
     sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     start = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
     windows = np.maximum(sizes - length + 1, 0)
     if not windows.sum():
         z = np.zeros(0, np.int64)
-        return z, z, z, z.view(np.uint64), z.view(np.uint64), z.view(np.uint64), z.astype(bool)
+        return z, z, z, z.view(np.uint64), z.view(np.uint64), z.view(np.uint64), z
     x = _BYTE[np.frombuffer(joined, np.uint8)]
     grams = C.windows(x, GRAM)
     name = _window_names(grams, length)
@@ -211,17 +213,18 @@ def segment_table(texts: list[bytes], length: int):
     one = C.mix64(C.BASE_A.span(C.BASE_A.prefix(x), a, b) + count.astype(np.uint64))
     two = C.mix64(C.BASE_B.span(C.BASE_B.prefix(x), a, b) + count.astype(np.uint64))
     reach = np.arange(length - GRAM + 1)
-    twofold = np.zeros(len(a), bool)
+    anchor = np.zeros(len(a), np.int64)
     for k in range(0, len(a), 1 << 13):
         p, q = a[k:k + (1 << 13)], (a + count)[k:k + (1 << 13)] + length - GRAM - 1
-        twofold[k:k + (1 << 13)] = p + grams[p[:, None] + reach].argmin(1) != q - grams[q[:, None] - reach].argmin(1)
-    return doc, at, count, name, one, two, twofold
+        left, right = grams[p[:, None] + reach].argmin(1), q - grams[q[:, None] - reach].argmin(1)
+        anchor[k:k + (1 << 13)] = np.where(p + left == right, left, -1)
+    return doc, at, count, name, one, two, anchor
 
 
 def _segments(length: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in C.text_chunks(batches, "text"):
-            doc, at, count, name, one, two, twofold = segment_table(texts, length)
+            doc, at, count, name, one, two, anchor = segment_table(texts, length)
             order = np.lexsort((at, one, doc))
             again = np.zeros(len(doc), bool)
             d, o = doc[order], one[order]
@@ -229,8 +232,9 @@ def _segments(length: int):
             take = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("rid").take(take), rows.column("ord").take(take), pa.array(at.astype(np.int32)),
-                 pa.array(count.astype(np.int32)), C.signed(name), C.signed(one), C.signed(two), pa.array(again), pa.array(twofold)],
-                names=["rid", "ord", "at", "n", "name", "s1", "s2", "again", "twofold"])
+                 pa.array(count.astype(np.int32)), C.signed(name), C.signed(one), C.signed(two), pa.array(again),
+                 pa.array(anchor.astype(np.int32))],
+                names=["rid", "ord", "at", "n", "name", "s1", "s2", "again", "anchor"])
     return fn
 
 
@@ -238,12 +242,13 @@ def _cut_out(length: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in C.text_chunks(batches, "text"):
             ids, ords, parts = rows.column("rid").to_pylist(), rows.column("ord").to_pylist(), rows.column("parts").to_pylist()
-            out = [(p["name"], o, r, p["at"], t[p["at"]:p["at"] + p["n"] + length - 1])
+            out = [(p["name"], o, r, p["at"], p["anchor"], t[p["at"]:p["at"] + p["n"] + length - 1])
                    for r, o, ps, t in zip(ids, ords, parts, texts) for p in ps]
-            names, os_, rs, ats, data = zip(*out)
+            names, os_, rs, ats, anchors, data = zip(*out)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), pa.array(os_, pa.int64()), pa.array(rs, pa.int64()),
-                 pa.array(ats, pa.int32()), pa.array(data, pa.binary())], names=["name", "ord", "rid", "at", "data"])
+                [pa.array(names, pa.int64()), pa.array(os_, pa.int64()), pa.array(rs, pa.int64()), pa.array(ats, pa.int32()),
+                 pa.array(anchors, pa.int32()), pa.array(data, pa.binary())],
+                names=["name", "ord", "rid", "at", "anchor", "data"])
     return fn
 
 
@@ -253,24 +258,60 @@ def _spans_batch(spans) -> pa.RecordBatch:
                                       names=["rid", "a", "b"])
 
 
+def _shared(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (differ.bit_length() + 7) // 8
+
+
+def _longest_shared(parts: list[bytes]) -> list[int]:
+    """For each string the longest prefix it shares with another one: with a neighbour in sorted order."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    out = [0] * len(parts)
+    for x, y in zip(order, order[1:]):
+        k = _shared(parts[x], parts[y])
+        out[x], out[y] = max(out[x], k), max(out[y], k)
+    return out
+
+
+def trimmed(group: list[tuple], length: int) -> list[tuple[int, int, int, bytes]]:
+    """Segments ``ord, rid, at, anchor, bytes`` of one name, cut to what another one may share.
+
+    Equal windows are aligned at the naming gram, so they lie within the longest
+    match to its left and to its right.  Segments that hold the gram twice have
+    no single alignment; with one of those in the group all stay whole.
+    """
+    if any(anchor < 0 for _, _, _, anchor, _ in group):
+        return [(o, r, a, data) for o, r, a, _, data in group]
+    left = _longest_shared([data[:p][::-1] for _, _, _, p, data in group])
+    right = _longest_shared([data[p:] for _, _, _, p, data in group])
+    return [(o, r, a + p - x, data[p - x:p + y]) for (o, r, a, p, data), x, y in zip(group, left, right) if x + y >= length]
+
+
 def _blocks(length: int):
     """Pack rows that arrive sorted by name into blocks that never part a name."""
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, last = [], 0, None
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("name", "ord", "rid", "at", "data")]
-            for name, o, r, a, data in zip(*cols):
-                if name != last and held >= BLOCK_BYTES:
-                    spans = repeated_in_block(block, length)
-                    if spans:
-                        yield _spans_batch(spans)
-                    block, held = [], 0
-                block.append((o, r, a, data))
-                held += len(data)
-                last = name
-        spans = repeated_in_block(block, length) if block else None
-        if spans:
-            yield _spans_batch(spans)
+        block, held, group, last = [], 0, [], None
+
+        def rows():
+            for batch in batches:
+                yield from zip(*(batch.column(c).to_pylist() for c in ("name", "ord", "rid", "at", "anchor", "data")))
+            yield (None,) * 6
+
+        for name, *segment in rows():
+            if name != last and group:
+                some = trimmed(group, length)
+                block += some
+                held += sum(len(x[3]) for x in some)
+                group = []
+            if block and (held >= BLOCK_BYTES or name is None):
+                spans = repeated_in_block(block, length)
+                if spans:
+                    yield _spans_batch(spans)
+                block, held = [], 0
+            group.append(segment)
+            last = name
     return fn
 
 
@@ -320,7 +361,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
     src = docs.select(C.row_key("doc_id", "text").alias("rid"), F.coalesce("doc_id", F.lit(LAST_ID)).alias("ord"),
                       "doc_id", "text")
     seg = scratch.write(src.select("rid", "ord", "text").mapInArrow(
-        _segments(length), "rid bigint, ord bigint, at int, n int, name bigint, s1 bigint, s2 bigint, again boolean, twofold boolean"), "segments")
+        _segments(length), "rid bigint, ord bigint, at int, n int, name bigint, s1 bigint, s2 bigint, again boolean, anchor int"), "segments")
     end = (F.col("at") + F.col("n") + F.lit(length - 1)).cast("bigint")
     span = ["rid", F.col("at").cast("bigint").alias("a"), end.alias("b")]
     first = seg.where("not again")
@@ -330,15 +371,15 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
     copies = scratch.write(first.join(copied, ["s1", "s2"]).where("ord > o1").select(*span)
                            .unionByName(seg.where("again").select(*span)), "copies")
     mixed = scratch.write(first.groupBy("name").agg(F.min("s1").alias("x"), F.max("s1").alias("y"),
-                                                    F.max("twofold").alias("twofold"))
-                          .where("x <> y or twofold").select("name"), "mixed")
+                                                    F.min("anchor").alias("low"))
+                          .where("x <> y or low < 0").select("name"), "mixed")
     rims = scratch.write(first.join(mixed, "name").join(copied, ["s1", "s2"], "left")
-                         .where("o1 is null or ord = o1").select("rid", "ord", "at", "n", "name"), "rims")
+                         .where("o1 is null or ord = o1").select("rid", "ord", "at", "n", "name", "anchor"), "rims")
     large = scratch.write(rims.groupBy("name").agg(F.sum(F.col("n") + F.lit(length - 1)).alias("w"))
                           .where(F.col("w") > BLOCK_LIMIT).select("name", F.lit(True).alias("large")), "large")
-    lists = rims.distinct().groupBy("rid").agg(F.collect_list(F.struct("name", "at", "n")).alias("parts"))
+    lists = rims.distinct().groupBy("rid").agg(F.collect_list(F.struct("name", "at", "n", "anchor")).alias("parts"))
     pieces = src.select("rid", "ord", "text").join(lists, "rid").select("rid", "ord", "text", "parts").mapInArrow(
-        _cut_out(length), "name bigint, ord bigint, rid bigint, at int, data binary")
+        _cut_out(length), "name bigint, ord bigint, rid bigint, at int, anchor int, data binary")
     pieces = scratch.write(pieces.join(large, "name", "left"), "pieces")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     in_blocks = (pieces.where("large is null").drop("large").repartition(parts, "name").sortWithinPartitions("name")
