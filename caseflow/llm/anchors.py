@@ -5,7 +5,7 @@ period + 1`` words, taken only at positions whose remainder modulo ``period``
 lies in a difference cover.  For any two positions i and j some shift below
 ``period`` carries both onto the cover, so two equal windows share an aligned
 anchor.  Repeated anchors are then extended: the windows around them, and only
-those, are hashed whole (128 bits) and counted.  A word goes when a window that
+those, are hashed whole (96 bits) and counted.  A word goes when a window that
 occurs more than once covers it; windows are judged on the input.
 
 Null and empty texts have no words and keep nothing.  Repeated rows count as
@@ -85,11 +85,11 @@ def _extended(width: int):
             at = np.flatnonzero(around[:-1])
             at = at[at + width <= w.first[of[at] + 1]]
             one = C.mix64(C.BASE_A.span(C.BASE_A.prefix(w.hash), at, at + width))
-            two = C.mix64(C.BASE_B.span(C.BASE_B.prefix(w.hash), at, at + width))
+            two = (C.mix64(C.BASE_B.span(C.BASE_B.prefix(w.hash), at, at + width)) >> np.uint64(32)).astype(np.uint32)
             d = of[at]
             yield pa.RecordBatch.from_arrays(
                 [rows.column("rid"), _lists((at - w.first[:-1][d]).astype(np.int32), d, len(texts), pa.int32()),
-                 _lists(one, d, len(texts)), _lists(two, d, len(texts))], names=["rid", "at", "w1", "w2"])
+                 _lists(one, d, len(texts)), _lists(two.view(np.int32), d, len(texts), pa.int32())], names=["rid", "at", "w1", "w2"])
     return fn
 
 
@@ -131,16 +131,16 @@ def repeated_windows(docs: DataFrame, width: int, scratch: C.Scratch) -> DataFra
     often = scratch.write(anchors.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
                           .where("n > 1").select("h"), "often")
     hits = scratch.write(
-        anchors.select("rid", F.posexplode("h").alias("k", "h")).join(often, "h").select("rid", "k").distinct()
-        .groupBy("rid").agg(F.sort_array(F.collect_list("k")).alias("hits")), "hits")
+        anchors.select("rid", F.posexplode("h").alias("k", "h")).join(often, "h").groupBy("rid")
+        .agg(F.sort_array(F.collect_set("k")).alias("hits")), "hits")
     scratch.drop("anchors", "often")
     wide = scratch.write(src.join(hits, "rid").select("rid", "text", "hits")
-                         .mapInArrow(_extended(width), "rid bigint, at array<int>, w1 array<bigint>, w2 array<bigint>"),
+                         .mapInArrow(_extended(width), "rid bigint, at array<int>, w1 array<bigint>, w2 array<int>"),
                          "wide")
     flat = wide.select("rid", F.explode(F.arrays_zip("at", "w1", "w2")).alias("x")).select("rid", "x.at", "x.w1", "x.w2")
     twice = scratch.write(flat.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "twice")
-    found = scratch.write(flat.join(twice, ["w1", "w2"]).select("rid", "at").distinct().groupBy("rid")
-                          .agg(F.sort_array(F.collect_list("at")).alias("starts")), "found")
+    found = scratch.write(flat.join(twice, ["w1", "w2"]).groupBy("rid")
+                          .agg(F.sort_array(F.collect_set("at")).alias("starts")), "found")
     scratch.drop("hits", "wide", "twice")
     return found
 
