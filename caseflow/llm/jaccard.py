@@ -16,10 +16,10 @@ one-deletion neighbourhood.  Both members of a linked pair hold the same subset
 of the matching segment, hence take the same choice.
 
 *Verification* counts the intersection of whole sets.  Equal sets form one
-class beforehand (named by a 64-bit hash of the set).  Within a signature group members are tested against the
-group's smallest and largest class; then only pairs across components that
-still share a group are tested, each of them, so no pair of a group is skipped
-unless its members are connected already.
+class beforehand (named by a 64-bit hash of the set).  Within a signature group
+members are tested against the group's hub, the class that meets most others;
+then only pairs across components that still share a group are tested, each of
+them, so no pair of a group is skipped unless its members are connected already.
 
 Nulls and empty texts have the empty set, which links with nothing.  Repeated
 rows share a class.  A null ``doc_id`` takes part; it is never a component's
@@ -188,11 +188,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     slim = profile.select("rid", "doc_id", "n", "lo")
 
     rows = profile.select("lo", F.explode("keys").alias("key"))
-    shared = scratch.write(rows.groupBy("key").agg(F.min("lo").alias("low"), F.max("lo").alias("high"))
-                           .where("low <> high"), "shared")
-    star = scratch.write(rows.join(shared, "key").select("key", "lo", "low", "high"), "star")
-    tested = scratch.write(
-        _pairs(star.select("lo", F.explode(F.array("low", "high")).alias("p")), "lo", "p"), "tested")
+    shared = scratch.write(rows.groupBy("key").agg(F.min("lo").alias("low"), F.max("lo").alias("high"), F.count("*").alias("m"))
+                           .where("low <> high").select("key", "m"), "shared")
+    star = scratch.write(rows.join(shared, "key").select("key", "lo", "m"), "star")
+    # the hub of a group: the class that meets most others, as the original of edited copies does
+    degree = scratch.write(star.groupBy("lo").agg(F.sum("m").alias("degree")), "degree")
+    hub = scratch.write(star.join(degree, "lo").groupBy("key").agg(F.max_by("lo", "degree").alias("hub")), "hub")
+    tested = scratch.write(_pairs(star.join(hub, "key"), "lo", "hub"), "tested")
     wanted = star.select("lo").distinct()
     sets = scratch.write(_fetch_sets(src, slim, wanted, width), "sets")
     links = scratch.write(_links(tested, sets, percent), "links")
@@ -216,7 +218,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     named = scratch.write(slim.join(comp2.withColumnRenamed("node", "lo"), "lo", "left")
                           .select("rid", "doc_id", "n", F.coalesce("component", "lo").alias("c")), "named")
     names = scratch.write(named.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("name")), "names")
-    scratch.drop("profile", "shared", "star", "tested", "sets", "label", "open", "rest", "more")
+    scratch.drop("profile", "shared", "star", "degree", "hub", "tested", "sets", "label", "open", "rest", "more")
     return named.join(names, "c", "left").select(
         "rid", "doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component"),
         F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
