@@ -15,7 +15,8 @@ many sets, so its signature also takes the next segment, as itself and as its
 one-deletion neighbourhood.  Both members of a linked pair hold the same subset
 of the matching segment, hence take the same choice.
 
-*Verification* counts the intersection of whole sets.  Equal sets form one
+*Verification* counts the intersection of whole sets, of pairs that pass a parity
+sketch (see :func:`_may_link`), which rejects no linked pair.  Equal sets form one
 class beforehand (named by a 64-bit hash of the set).  Within a signature group
 members are tested against the group's hub, the class that meets most others;
 then only pairs across components that still share a group are tested, each of
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 from caseflow.llm import common as C
 
 WEAK = 2
+SKETCH_BITS = 512
 
 
 def band_limits(top: int, percent: int) -> list[int]:
@@ -117,14 +119,18 @@ def _profile(width: int, percent: int):
             sizes = np.bincount(doc, minlength=len(texts))
             lo = np.zeros(len(texts), np.uint64)
             np.add.at(lo, doc, C.mix64(h))
+            bits = np.zeros(len(texts) * SKETCH_BITS, np.uint8)
+            np.add.at(bits, doc * SKETCH_BITS + (C.mix64(h + np.uint64(7)) % np.uint64(SKETCH_BITS)).astype(np.int64), 1)
+            sketch = np.packbits(bits & 1).view(np.int64)
+            ends = pa.array(np.arange(len(texts) + 1) * (SKETCH_BITS // 64), pa.int32())
             owner, key = signatures(doc, h, sizes, percent)
             order = np.argsort(owner, kind="stable")
             offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))])
             keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), C.signed(key[order]))
             yield pa.RecordBatch.from_arrays(
                 [rows.column("rid"), rows.column("doc_id"), pa.array(sizes, pa.int64()),
-                 C.signed(C.mix64(lo + sizes.astype(np.uint64))), keys],
-                names=["rid", "doc_id", "n", "lo", "keys"])
+                 C.signed(C.mix64(lo + sizes.astype(np.uint64))), pa.ListArray.from_arrays(ends, pa.array(sketch)), keys],
+                names=["rid", "doc_id", "n", "lo", "sketch", "keys"])
     return fn
 
 
@@ -153,13 +159,21 @@ def _verified(percent: int):
     return fn
 
 
+def _may_link(percent: int) -> str:
+    """Whether sets ``x`` and ``y`` can link, by their parity sketches.
+
+    A sketch holds for each bucket of the universe whether the set has an odd
+    number of elements in it, so sketches differ in no more buckets than the sets
+    in elements; that number is bounded for linked sets.
+    """
+    apart = " + ".join(f"bit_count(x.sketch[{i}] ^ y.sketch[{i}])" for i in range(SKETCH_BITS // 64))
+    return f"{apart} <= ({100 - percent} * (x.n + y.n)) div {100 + percent}"
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose whole sets pass the test."""
-    size = F.size("grams")
-    s = sets.withColumn("m", size)
-    left = pairs.join(s.select(F.col("lo").alias("a"), F.col("grams").alias("sa"), F.col("m").alias("ma")), "a")
-    both = left.join(s.select(F.col("lo").alias("b"), F.col("grams").alias("sb"), F.col("m").alias("mb")), "b")
-    both = both.where(f"least(ma, mb) * 100 >= greatest(ma, mb) * {percent}")
+    both = (pairs.join(sets.select(F.col("lo").alias("a"), F.col("grams").alias("sa")), "a")
+            .join(sets.select(F.col("lo").alias("b"), F.col("grams").alias("sb")), "b"))
     return both.select("a", "b", "sa", "sb").mapInArrow(_verified(percent), "a bigint, b bigint")
 
 
@@ -184,7 +198,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     src = docs.select(C.row_key("doc_id", "text").alias("rid"), "doc_id", "text")
     profile = scratch.write(
         src.mapInArrow(_profile(width, percent),
-                       "rid bigint, doc_id bigint, n bigint, lo bigint, keys array<bigint>"), "profile")
+                       "rid bigint, doc_id bigint, n bigint, lo bigint, sketch array<bigint>, keys array<bigint>"), "profile")
     slim = profile.select("rid", "doc_id", "n", "lo")
 
     rows = profile.select("lo", F.explode("keys").alias("key"))
@@ -194,9 +208,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     # the hub of a group: the class that meets most others, as the original of edited copies does
     degree = scratch.write(star.groupBy("lo").agg(F.sum("m").alias("degree")), "degree")
     hub = scratch.write(star.join(degree, "lo").groupBy("key").agg(F.max_by("lo", "degree").alias("hub")), "hub")
-    tested = scratch.write(_pairs(star.join(hub, "key"), "lo", "hub"), "tested")
-    wanted = star.select("lo").distinct()
-    sets = scratch.write(_fetch_sets(src, slim, wanted, width), "sets")
+    known = scratch.write(profile.select("lo", "n", "sketch").join(degree.select("lo"), "lo").dropDuplicates(["lo"]), "known")
+    near = _may_link(percent)
+    tried = (_pairs(star.join(hub, "key"), "lo", "hub").join(known.withColumnRenamed("lo", "a").select(
+        "a", F.struct("n", "sketch").alias("x")), "a").join(known.withColumnRenamed("lo", "b").select(
+            "b", F.struct("n", "sketch").alias("y")), "b"))
+    tested = scratch.write(tried.where(near).select("a", "b"), "tested")
+    sets = scratch.write(_fetch_sets(src, slim, degree.select("lo"), width), "sets")
     links = scratch.write(_links(tested, sets, percent), "links")
     comp = scratch.write(C.components(links, scratch, "cc1"), "comp1")
 
@@ -208,9 +226,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     open_keys = scratch.write(
         parts.groupBy("key").agg(F.max(F.struct("m", "c")).alias("major"), F.count("*").alias("k"))
         .where("k > 1").select("key", F.col("major.c").alias("major")), "open")
-    rest = scratch.write(label.join(open_keys, "key"), "rest")
-    minor = rest.where("c <> major").select("key", F.col("lo").alias("lo2"), F.col("c").alias("c2"))
-    more = _pairs(rest.select("key", "lo", "c").join(minor, "key").where("c <> c2"), "lo", "lo2")
+    rest = scratch.write(label.join(open_keys, "key").join(known, "lo"), "rest")
+    member = rest.select("key", F.struct("lo", "c", "n", "sketch").alias("x"))
+    minor = rest.where("c <> major").select("key", F.struct("lo", "c", "n", "sketch").alias("y"))
+    more = _pairs(member.join(minor, "key").where(f"x.c <> y.c and {near}")
+                  .select(F.col("x.lo").alias("lo"), F.col("y.lo").alias("lo2")), "lo", "lo2")
     more = scratch.write(more.join(tested, ["a", "b"], "left_anti"), "more")
     links2 = scratch.write(links.unionByName(_links(more, sets, percent)), "links2")
     comp2 = C.components(links2, scratch, "cc2")
@@ -218,7 +238,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     named = scratch.write(slim.join(comp2.withColumnRenamed("node", "lo"), "lo", "left")
                           .select("rid", "doc_id", "n", F.coalesce("component", "lo").alias("c")), "named")
     names = scratch.write(named.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("name")), "names")
-    scratch.drop("profile", "shared", "star", "degree", "hub", "tested", "sets", "label", "open", "rest", "more")
+    scratch.drop("profile", "shared", "star", "degree", "hub", "known", "tested", "sets", "label", "open", "rest", "more")
     return named.join(names, "c", "left").select(
         "rid", "doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component"),
         F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
