@@ -37,9 +37,10 @@ SHARDS = 8              # at least, for parallel work
 SHARD_ROWS = 1 << 16
 NEIGHBOURS = 12         # twice as many on the lowest layer
 BUILD_BEAM = 32
-FIRST_BEAM = 32
+FIRST_BEAM = 64
 BATCH = 256
-AUDIT = 0.02
+AUDIT = 0.02            # share of a shard that is audited, at least AUDIT_LEAST vectors
+AUDIT_LEAST = 64
 RECALL = 0.98
 
 
@@ -229,7 +230,7 @@ def match_shards(left: dict, right: dict, same: bool, threshold: float):
     """Links between two shards: neighbour counts of both sides, forest edges, recall and beam."""
     a, b, graph = left["vectors"], right["vectors"], right["graph"]
     ua, near = unit(a), threshold - 1e-4
-    audited = np.flatnonzero(np.random.default_rng(11).random(len(a)) < AUDIT)
+    audited = np.flatnonzero(np.random.default_rng(11).random(len(a)) < max(AUDIT, AUDIT_LEAST / len(a)))
     beam, recall = FIRST_BEAM, 1.0
     truth = [np.nonzero(ua[x] @ graph.vectors.T >= near) for x in np.array_split(audited, max(1, len(audited) // BATCH))]
     total = sum(len(t[0]) for t in truth)
