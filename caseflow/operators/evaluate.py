@@ -51,14 +51,18 @@ def auc(df: DataFrame, y: str = "y", score: str = "score", keys: list[str] | Non
 
 
 def roc_points(df: DataFrame, y: str = "y", score: str = "score", keys: list[str] | None = None) -> DataFrame:
-    """E5: one point per distinct threshold t: rates of scores ≥ t."""
+    """E5: one point per distinct threshold t: rates of scores ≥ t; the curve starts at (0, 0), t = ∞."""
     keys = list(keys or [])
     t = score_table(df, y, score, keys=keys)
     tp = F.col("P") - F.col("pos_below")
     fp = F.col("N") - F.col("neg_below")
-    return t.select(*keys, F.col("score").alias("threshold"),
-                    F.when(F.col("N") > 0, fp / F.col("N")).alias("fpr"),
-                    F.when(F.col("P") > 0, tp / F.col("P")).alias("tpr"))
+    points = t.select(*keys, F.col("score").alias("threshold"),
+                      F.when(F.col("N") > 0, fp / F.col("N")).alias("fpr"),
+                      F.when(F.col("P") > 0, tp / F.col("P")).alias("tpr"))
+    start = t.groupBy(*keys).agg(F.max("P").alias("P"), F.max("N").alias("N")).where("P is not null").select(
+        *keys, F.lit(float("inf")).alias("threshold"), F.when(F.col("N") > 0, 0.0).alias("fpr"),
+        F.when(F.col("P") > 0, 0.0).alias("tpr"))
+    return points.unionByName(start)
 
 
 def predictions(df: DataFrame, score: str = "score", threshold: float = 0.5, pred: str = "pred") -> DataFrame:

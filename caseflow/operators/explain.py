@@ -247,7 +247,8 @@ def tree_shap(model, df: DataFrame, names: list[str], id_col: str = "case_id",
     id_type = df.schema[id_col].dataType.simpleString()
     src = df.select(id_col, vector_to_array(features).alias("x"))
     out = src.mapInPandas(explain, f"{id_col} {id_type}, slot int, value double, shap double")
-    out = out.join(F.broadcast(names_frame(names)), "slot").select(id_col, "slot", "feature", "value", "shap")
+    name = F.coalesce(F.col("feature"), F.concat(F.lit("feature_"), F.col("slot")))
+    out = out.join(names_frame(names), "slot", "left").select(id_col, "slot", name.alias("feature"), "value", "shap")
     return out, spark.createDataFrame([(base,)], "base_value double")
 
 

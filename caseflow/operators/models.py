@@ -19,7 +19,7 @@ from caseflow.operators.evaluate import log_loss
 from caseflow.operators.prepare import SPLIT
 
 # Presets of the boosted-tree variants and the tuning ranges.
-MAX_DEPTH_CAP = 30
+MAX_DEPTH = 30
 PRESETS = {
     "gbt": {"n_estimators": 300, "learning_rate": 0.1, "max_depth": -1, "min_data_in_leaf": 20,
             "feature_fraction": 1.0},
@@ -34,9 +34,12 @@ TUNE_RANGES = {"num_leaves": (16, 120), "max_depth": (3, 18), "learning_rate": (
 
 
 def _depth(d):
+    """Unlimited (none or negative) is the deepest tree that Spark grows; a larger demand is an error."""
     if d is None or d < 0:
-        return MAX_DEPTH_CAP
-    return min(int(d), MAX_DEPTH_CAP)
+        return MAX_DEPTH
+    if d > MAX_DEPTH:
+        raise ValueError(f"trees can be at most {MAX_DEPTH} deep, not {d}")
+    return int(d)
 
 
 def _fraction(f) -> str:

@@ -32,6 +32,8 @@ def stratified_split(cases: DataFrame, label: str, id_col: str = "case_id", test
                      val_size: float = 0.25, seed: int = 42, n_buckets: int = 4096) -> DataFrame:
     """Add ``split`` ∈ {train, val, test} with exact per-class counts.
 
+    Rows without a label form a class of their own, so no row is lost.
+
     Within each class, cases are ranked by ``md5('<seed>:<id>')`` (then id).
     The rank is computed without a per-class single task: cases are bucketed
     by the first hex digits of the hash (a monotone function of the sort key),
@@ -49,7 +51,9 @@ def stratified_split(cases: DataFrame, label: str, id_col: str = "case_id", test
         "_n": F.sum("_nb").over(cls),
     }).withColumn("_off", F.coalesce("_off", F.lit(0)))
     # bounded: (#classes × 16^digits) rows
-    keyed = keyed.join(F.broadcast(sizes.select(label, "_b", "_off", "_n")), [label, "_b"])
+    sizes = sizes.select(F.col(label).alias("_l"), F.col("_b").alias("_sb"), "_off", "_n")
+    same = F.col(label).eqNullSafe(F.col("_l")) & F.col("_b").eqNullSafe(F.col("_sb"))
+    keyed = keyed.join(F.broadcast(sizes), same).drop("_l", "_sb")
     rn = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", id_col))
     ranked = keyed.withColumn("_r", F.col("_off") + rn - 1)
     n_test, n_val = split_counts(F.col("_n"), test_size, val_size)
@@ -110,7 +114,8 @@ def category_slots(df: DataFrame, categorical: list[str]) -> DataFrame:
     train = df.where(F.col(SPLIT) == "train")
     long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"),
                                                      F.col(c).cast("string").alias("category"))
-                                            for c in categorical])).alias("p")).select("p.*").distinct()
+                                            for c in categorical])).alias("p")).select("p.*")
+    long = long.where("category is not null").distinct()  # a missing value has no slot
     return long.withColumn("slot", (F.row_number().over(
         Window.partitionBy("column_name").orderBy("category")) - 1).cast("int"))
 

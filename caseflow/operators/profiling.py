@@ -107,12 +107,17 @@ def quality_risks(df: DataFrame, cols: LogCols = CANONICAL, bad_time_share: floa
     return rows.select("risk", "n_bad", F.coalesce("flag", F.lit(False)).cast("int").alias("flagged"))
 
 
-def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Count, mean, std (n−1), min, quartiles (linear), max per numeric column."""
+def describe_numeric(df: DataFrame, columns: list[str] | None = None, scale: int | None = None) -> DataFrame:
+    """Count, mean, std (n−1), min, quartiles (linear), max per numeric column.
+
+    With ``scale``, values have that many decimals and are summed exactly.
+    """
     columns = columns or numeric_columns(df)
     long = _long(df, columns, "double")
+    mean = F.avg("value") if scale is None else (
+        F.sum(F.col("value").cast(f"decimal(28,{scale})")).cast("double") / F.count("value"))
     moments = long.groupBy("column_name").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
+        F.count("value").alias("count"), mean.alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
     q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["column_name"], ["p25", "p50", "p75"])
     return moments.join(q, "column_name", "left").select(

@@ -108,7 +108,8 @@ def trace_stats(df: DataFrame, cols: LogCols = CANONICAL, top_n: int | None = 30
         mean, med = F.round(mean, digits), F.round(med, digits)
     stats = t.groupBy("trace").agg(F.count(F.lit(1)).alias("n_cases"), mean.alias("mean_lead_time"))
     meds = exact_quantiles(t, "lead_us", [0.5], ["trace"], ["_med"])
-    out = (stats.join(meds, "trace").select("trace", "n_cases", "mean_lead_time", med.alias("median_lead_time"))
+    # a variant none of whose cases has a lead time keeps its row, without mean and median
+    out = (stats.join(meds, "trace", "left").select("trace", "n_cases", "mean_lead_time", med.alias("median_lead_time"))
                 .orderBy(F.col("mean_lead_time").desc(), F.col("trace").asc()))
     return out.limit(top_n) if top_n else out
 

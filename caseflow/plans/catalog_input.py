@@ -95,7 +95,8 @@ def q_quality_risks(spark, sf_dir):
 
 
 def _describe_sql():
-    parts = [f"""SELECT '{c}' AS column_name, count({c}) AS count, round(avg({c}), 6) AS mean,
+    parts = [f"""SELECT '{c}' AS column_name, count({c}) AS count,
+        CAST(sum(CAST({c} AS DECIMAL(28,2))) AS DOUBLE) / count({c}) AS mean,
         round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS min,
         round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 6) AS p25, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 6) AS p50,
         round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 6) AS p75, round(max({c}), 6) AS max FROM log""" for c in ORDER_NUM]
@@ -105,7 +106,7 @@ def _describe_sql():
 @register("describe_numeric", _describe_sql())
 def q_describe_numeric(spark, sf_dir):
     df, _, _ = load_log(spark, sf_dir, "log_order")
-    return _r6(P.describe_numeric(df, ORDER_NUM), ["mean", "std", "min", "p25", "p50", "p75", "max"])
+    return _r6(P.describe_numeric(df, ORDER_NUM, scale=2), ["std", "min", "p25", "p50", "p75", "max"])
 
 
 @register("throughput_describe", _with_log("log_day", f"""SELECT count(h) AS n_cases, round(avg(h), 6) AS mean,
@@ -231,6 +232,18 @@ def q_read_csv_log(spark, sf_dir):
     return out.withColumn("cost", F.round("cost", 6))
 
 
+@register("read_csv_renamed", _with_log("log_day", """SELECT case_id, activity, "timestamp", seq, status, resource,
+round(cost, 6) AS cost, deadline, group_code, priority, purpose_code, intervention_type FROM log"""))
+def q_read_csv_renamed(spark, sf_dir):
+    """The rich log under its own headers, in another order and with a further column."""
+    df, _, _ = load_log(spark, sf_dir, "log_day")
+    own = {**C.RICH_COLUMNS, "cost": "Cost"}
+    path = scratch_path(spark, "csv-renamed")
+    CSV.write_csv(df.select(*[F.col(n).alias(own[n]) for n in sorted(own, reverse=True)], F.lit("x").alias("note")), path)
+    out = CSV.read_event_csv(spark, path, CSV.RICH_SCHEMA, time_cols=("timestamp", "deadline"))
+    return out.withColumn("cost", F.round("cost", 6))
+
+
 @register("read_csv_dayfirst", """SELECT event_id, user_id, event_type, date_trunc('second', ts) AS ts, value
 FROM events""")
 def q_read_csv_dayfirst(spark, sf_dir):

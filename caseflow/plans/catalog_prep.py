@@ -157,7 +157,8 @@ def q_eval_auc(spark, sf_dir):
 
 
 @register("eval_roc", f"""WITH {SCORES_SQL}
-SELECT score AS threshold, round((N - neg_below) / N, 9) AS fpr, round((P - pos_below) / P, 9) AS tpr FROM ct""")
+SELECT score AS threshold, round((N - neg_below) / N, 9) AS fpr, round((P - pos_below) / P, 9) AS tpr FROM ct
+UNION ALL SELECT CAST('Infinity' AS DOUBLE), 0.0, 0.0 FROM (SELECT count(*) AS n FROM ct) WHERE n > 0""")
 def q_eval_roc(spark, sf_dir):
     return _r9(E.roc_points(_test_scores(spark, sf_dir)), ["fpr", "tpr"])
 

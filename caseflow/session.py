@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -42,13 +41,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and written intermediates.
 
     On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared
-    file system).  Only when nothing is configured — local tests — a fresh
-    temporary folder is created and registered.
+    file system).  Without one a local master gets a fresh temporary folder; on
+    a cluster, whose machines share no such folder, that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if not current:
         current = spark.conf.get("spark.checkpoint.dir", None)
+        if not current and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not current:
             current = tempfile.mkdtemp(prefix="caseflow-ckpt-")
         sc.setCheckpointDir(current)
@@ -62,9 +63,4 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/caseflow/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for helpers that need a plain path."""
-    return path[5:] if path.startswith("file:") else path
-
-
-__all__ = ["get_session", "checkpoint_root", "scratch_path", "local_path", "os"]
+__all__ = ["get_session", "checkpoint_root", "scratch_path"]

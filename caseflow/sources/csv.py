@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, FloatType, StringType, StructField, StructType
 
-from caseflow.operators.contract import dedupe_columns
+from caseflow.operators.contract import header_key, source_names
 
 CANONICAL_SCHEMA = ("case_id string, activity string, timestamp string, resource string, cost double")
 RICH_SCHEMA = ("case_id string, activity string, timestamp string, seq bigint, status string, "
@@ -13,6 +13,34 @@ RICH_SCHEMA = ("case_id string, activity string, timestamp string, seq bigint, s
                "purpose_code string, intervention_type string")
 
 
+def _read_by_name(spark: SparkSession, path: str, schema: str | StructType, sep: str, mode: str) -> DataFrame:
+    """Read all columns as text in file order, then pick and cast the schema's columns by header name.
+
+    A header matches by its key (see ``header_key``) or as a known source name;
+    of duplicate headers the first counts.  Columns the schema lacks are left
+    out, columns the file lacks are null.  NaN is read as missing.
+    """
+    target = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    first = spark.read.option("sep", sep).csv(path).first()
+    header = [h if h is not None else "" for h in first] if first else []
+    text = StructType([StructField(f"_c{i}", StringType()) for i in range(len(header))])
+    raw = spark.read.schema(text).option("header", True).option("sep", sep).option("mode", mode).csv(path)
+    known, place = source_names(header), {}
+    for i, h in enumerate(header):
+        place.setdefault(header_key(h), i)
+    for i, h in enumerate(header):
+        if h in known:
+            place.setdefault(header_key(known[h]), i)
+    out = []
+    for f in target.fields:
+        i = place.get(header_key(f.name))
+        value = F.lit(None) if i is None else F.col(f"_c{i}")
+        if i is not None and isinstance(f.dataType, (DoubleType, FloatType)):
+            value = F.when(F.lower(F.trim(value)) != "nan", value)
+        out.append(value.cast(f.dataType).alias(f.name))
+    return raw.select(*out)
+
+
 def read_event_csv(spark: SparkSession, path: str, schema: str | StructType = CANONICAL_SCHEMA,
                    sep: str = ",", time_cols=("timestamp",), time_format: str | None = None,
                    strict: bool = True) -> DataFrame:
@@ -21,9 +49,7 @@ def read_event_csv(spark: SparkSession, path: str, schema: str | StructType = CA
     ``strict`` (the pipeline's reader) fails on unparsable times (C6);
     otherwise they become null (C7).  CRLF line ends are handled by the reader.
     """
-    df = (spark.read.schema(schema).option("header", True).option("sep", sep)
-          .option("mode", "FAILFAST").csv(path))
-    df = dedupe_columns(df)
+    df = _read_by_name(spark, path, schema, sep, "FAILFAST")
     conv = {}
     for c in time_cols:
         if c in df.columns:
@@ -38,7 +64,7 @@ def read_event_csv(spark: SparkSession, path: str, schema: str | StructType = CA
 def read_dayfirst_csv(spark: SparkSession, path: str, schema: str | StructType,
                       time_cols=("timestamp",), sep: str = ";") -> DataFrame:
     """``;``-separated, day-first dates (``dd/MM/yyyy HH:mm[:ss]``); bad → null."""
-    df = spark.read.schema(schema).option("header", True).option("sep", sep).csv(path)
+    df = _read_by_name(spark, path, schema, sep, "PERMISSIVE")
     conv = {}
     for c in time_cols:
         full = F.try_to_timestamp(F.col(c), F.lit("dd/MM/yyyy HH:mm:ss"))
