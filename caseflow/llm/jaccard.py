@@ -9,16 +9,18 @@ larger set the symmetric difference is at most ``H``; the universe is hashed
 into ``H + 1`` segments.  By the pigeonhole on a ring some segment differs in no
 element while it and the next one differ in at most one together.
 
-*Allocation.* A segment holding more than ``WEAK`` elements is selective: its
-subset alone is the signature (one key).  A weak segment would collide with
-many sets, so its signature also takes the next segment, as itself and as its
-one-deletion neighbourhood.  Both members of a linked pair hold the same subset
-of the matching segment, hence take the same choice.
+*Allocation.* A segment holding more elements than its band's :func:`weak_size`
+is selective: its subset alone is the signature (one key).  A weak segment would
+collide with many sets, so its signature also takes the next segment, as itself
+and as its one-deletion neighbourhood.  Neighbourhoods cost as many keys as the
+next segment has elements, so a band calls weak what it can pay for.  Both
+members of a linked pair hold the same subset of the matching segment, hence
+take the same choice.
 
 *Verification* counts the intersection of whole sets, of pairs that pass a parity
 sketch (see :func:`_may_link`), which rejects no linked pair.  Equal sets form one
 class beforehand (named by a 64-bit hash of the set).  Within a signature group
-members are tested against the group's hub, the class that meets most others;
+members are tested against the group's hub, the class with most shared keys;
 then only pairs across components that still share a group are tested, each of
 them, so no pair of a group is skipped unless its members are connected already.
 
@@ -29,6 +31,7 @@ name unless no member has an id.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 
 from caseflow.llm import common as C
 
-WEAK = 2
+EXTRA_KEYS = 0.5        # most keys a segment that neighbourhoods may add on average
 SKETCH_BITS = 512
 
 
@@ -55,6 +58,17 @@ def difference_bound(size: int, percent: int) -> int:
     return (100 - percent) * 2 * size // (100 + percent)
 
 
+def weak_size(size: int, percent: int) -> int:
+    """Most elements of a weak segment: the largest number whose share of the
+    segments, times the mean load, adds at most ``EXTRA_KEYS`` keys a segment."""
+    load = 0.92 * size / (difference_bound(size, percent) + 1)
+    level, share, term = -1, 0.0, math.exp(-load)
+    while (share + term) * load <= EXTRA_KEYS and level < load:
+        level, share = level + 1, share + term
+        term *= load / (level + 1)
+    return max(level, 0)
+
+
 def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text: the text's index and the hash, sorted by both."""
     w = C.Words(texts, C.LOWER)
@@ -99,7 +113,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int)
         local = np.arange(offset[-1]) - np.repeat(offset[:-1], m)
         following = np.where(local + 1 == m[owner], offset[:-1][owner], np.arange(offset[-1]) + 1)
         name = C.mix64(salt[owner] + local.astype(np.uint64))
-        weak = count <= WEAK
+        weak = count <= np.array([weak_size(int(x), percent) for x in limits])[scheme][owner]
         strong_key = C.mix64(total + name)
         pair_name = C.mix64(total * np.uint64(0x9E3779B97F4A7C15) + name + np.uint64(1))
         pair_key = C.mix64(pair_name + total[following])
@@ -202,11 +216,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     slim = profile.select("rid", "doc_id", "n", "lo")
 
     rows = profile.select("lo", F.explode("keys").alias("key"))
-    shared = scratch.write(rows.groupBy("key").agg(F.min("lo").alias("low"), F.max("lo").alias("high"), F.count("*").alias("m"))
-                           .where("low <> high").select("key", "m"), "shared")
-    star = scratch.write(rows.join(shared, "key").select("key", "lo", "m"), "star")
-    # the hub of a group: the class that meets most others, as the original of edited copies does
-    degree = scratch.write(star.groupBy("lo").agg(F.sum("m").alias("degree")), "degree")
+    shared = scratch.write(rows.groupBy("key").agg(F.min("lo").alias("low"), F.max("lo").alias("high"))
+                           .where("low <> high").select("key"), "shared")
+    star = scratch.write(rows.join(shared, "key").select("key", "lo"), "star")
+    # the hub of a group: the class with most shared signatures, as the original of edited copies is
+    degree = scratch.write(star.groupBy("lo").agg(F.count("*").alias("degree")), "degree")
     hub = scratch.write(star.join(degree, "lo").groupBy("key").agg(F.max_by("lo", "degree").alias("hub")), "hub")
     known = scratch.write(profile.select("lo", "n", "sketch").join(degree.select("lo"), "lo").dropDuplicates(["lo"]), "known")
     near = _may_link(percent)
