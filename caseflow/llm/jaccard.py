@@ -17,12 +17,12 @@ next segment has elements, so a band calls weak what it can pay for.  Both
 members of a linked pair hold the same subset of the matching segment, hence
 take the same choice.
 
-*Verification* counts the intersection of whole sets, of pairs that pass a parity
-sketch (see :func:`_may_link`), which rejects no linked pair.  Equal sets form one
-class beforehand (named by a 64-bit hash of the set).  Within a signature group
-members are tested against the group's hub, the class with most shared keys;
-then only pairs across components that still share a group are tested, each of
-them, so no pair of a group is skipped unless its members are connected already.
+*Verification* counts the intersection of whole sets, of pairs that pass a
+parity sketch (see :func:`_may_link`), which rejects no linked pair.  Equal sets
+form one class beforehand (named by a 64-bit hash of the set).  Each class first
+meets the greatest of its groups' hubs, the class with most shared keys; then
+the pairs across components that still share a group are tested, each of them,
+so no pair of a group is skipped unless its members are connected already.
 
 Nulls and empty texts have the empty set, which links with nothing.  Repeated
 rows share a class.  A null ``doc_id`` takes part; it is never a component's
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from caseflow.llm import common as C
 
 EXTRA_KEYS = 0.5        # most keys a segment that neighbourhoods may add on average
-SKETCH_BITS = 512
+SKETCH_BITS = 1024
 
 
 def band_limits(top: int, percent: int) -> list[int]:
@@ -184,11 +184,25 @@ def _may_link(percent: int) -> str:
     return f"{apart} <= ({100 - percent} * (x.n + y.n)) div {100 + percent}"
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose whole sets pass the test."""
-    both = (pairs.join(sets.select(F.col("lo").alias("a"), F.col("grams").alias("sa")), "a")
-            .join(sets.select(F.col("lo").alias("b"), F.col("grams").alias("sb")), "b"))
-    return both.select("a", "b", "sa", "sb").mapInArrow(_verified(percent), "a bigint, b bigint")
+def _links(pairs: DataFrame, sets: DataFrame, percent: int, scratch: C.Scratch, tag: str) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose whole sets pass the test.
+
+    All pairs are tested, in as many blocks as keep the sets that travel with a
+    block's pairs within the size of the table of sets.
+    """
+    left = sets.select(F.col("lo").alias("a"), F.col("grams").alias("sa"))
+    right = sets.select(F.col("lo").alias("b"), F.col("grams").alias("sb"))
+    size = sets.select("lo", F.size("grams").cast("bigint").alias("m"))
+    moved = pairs.join(size.withColumnRenamed("lo", "a"), "a").agg(F.sum("m")).first()[0] or 0
+    held = size.agg(F.sum("m")).first()[0] or 1
+    found = None
+    blocks = max(1, -(-moved // held))
+    for k in range(blocks):
+        some = pairs if blocks == 1 else pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(blocks)) == k)
+        one = scratch.write(some.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+                            .mapInArrow(_verified(percent), "a bigint, b bigint"), f"{tag}{k}")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def _fetch_sets(docs: DataFrame, profile: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -213,7 +227,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     profile = scratch.write(
         src.mapInArrow(_profile(width, percent),
                        "rid bigint, doc_id bigint, n bigint, lo bigint, sketch array<bigint>, keys array<bigint>"), "profile")
-    slim = profile.select("rid", "doc_id", "n", "lo")
+    slim = scratch.write(profile.select("rid", "doc_id", "n", "lo"), "slim")
 
     rows = profile.select("lo", F.explode("keys").alias("key"))
     shared = scratch.write(rows.groupBy("key").agg(F.min("lo").alias("low"), F.max("lo").alias("high"))
@@ -221,15 +235,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     star = scratch.write(rows.join(shared, "key").select("key", "lo"), "star")
     # the hub of a group: the class with most shared signatures, as the original of edited copies is
     degree = scratch.write(star.groupBy("lo").agg(F.count("*").alias("degree")), "degree")
-    hub = scratch.write(star.join(degree, "lo").groupBy("key").agg(F.max_by("lo", "degree").alias("hub")), "hub")
+    led = star.join(degree, "lo")
+    hub = scratch.write(led.groupBy("key").agg(F.max_by("lo", "degree").alias("hub"), F.max("degree").alias("top")), "hub")
+    # each class first meets the greatest of its groups' hubs only
+    first = star.join(hub, "key").where("lo <> hub").groupBy("lo").agg(F.max_by("hub", "top").alias("hub"))
     known = scratch.write(profile.select("lo", "n", "sketch").join(degree.select("lo"), "lo").dropDuplicates(["lo"]), "known")
     near = _may_link(percent)
-    tried = (_pairs(star.join(hub, "key"), "lo", "hub").join(known.withColumnRenamed("lo", "a").select(
+    tried = (_pairs(first, "lo", "hub").join(known.withColumnRenamed("lo", "a").select(
         "a", F.struct("n", "sketch").alias("x")), "a").join(known.withColumnRenamed("lo", "b").select(
             "b", F.struct("n", "sketch").alias("y")), "b"))
     tested = scratch.write(tried.where(near).select("a", "b"), "tested")
     sets = scratch.write(_fetch_sets(src, slim, degree.select("lo"), width), "sets")
-    links = scratch.write(_links(tested, sets, percent), "links")
+    scratch.drop("profile", "shared", "hub")
+    links = _links(tested, sets, percent, scratch, "links")
     comp = scratch.write(C.components(links, scratch, "cc1"), "comp1")
 
     # pairs that share a group but are in different components so far
@@ -246,13 +264,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     more = _pairs(member.join(minor, "key").where(f"x.c <> y.c and {near}")
                   .select(F.col("x.lo").alias("lo"), F.col("y.lo").alias("lo2")), "lo", "lo2")
     more = scratch.write(more.join(tested, ["a", "b"], "left_anti"), "more")
-    links2 = scratch.write(links.unionByName(_links(more, sets, percent)), "links2")
-    comp2 = C.components(links2, scratch, "cc2")
+    comp2 = C.components(links.unionByName(_links(more, sets, percent, scratch, "more_links")), scratch, "cc2")
 
     named = scratch.write(slim.join(comp2.withColumnRenamed("node", "lo"), "lo", "left")
                           .select("rid", "doc_id", "n", F.coalesce("component", "lo").alias("c")), "named")
     names = scratch.write(named.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("name")), "names")
-    scratch.drop("profile", "shared", "star", "degree", "hub", "known", "tested", "sets", "label", "open", "rest", "more")
+    scratch.drop("star", "degree", "known", "tested", "sets", "label", "open", "rest", "more")
     return named.join(names, "c", "left").select(
         "rid", "doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component"),
         F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
