@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 def exact_quantiles(df: DataFrame, value, probs: list[float], by: list[str] | tuple = (),
                     names: list[str] | None = None, partitions: int | None = None) -> DataFrame:
-    """One row per group (or one row) with a double column per probability."""
+    """One row per group (or one row) with a double column per probability; null and NaN are left out."""
     by = list(by)
     names = names or [f"q{i}" for i in range(len(probs))]
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    counts = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull()) \
+    counts = df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")) \
         .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
     n_part = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = counts.repartitionByRange(n_part, *by, "_v") \

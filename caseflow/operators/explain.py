@@ -5,14 +5,16 @@ the base value in a separate one-row frame; every ranking (global, local,
 dependence, describe) is an aggregate or window over that frame, computed for
 all cases at once.
 
-Tree SHAP uses the path-dependent polynomial algorithm of Lundberg, Erion and
-Lee (arXiv:1802.03888).  The fitted trees are read from the model's saved
-node table (a model-sized array, broadcast) and rows are explained in
-``mapInPandas`` batches on the executors.
+Tree SHAP gives the path-dependent values of Lundberg, Erion and Lee
+(arXiv:1802.03888), leaf by leaf for a whole batch of rows.  The fitted trees
+are read from the model's saved node table (a model-sized array, broadcast) and
+rows are explained in ``mapInPandas`` batches on the executors.
 """
 
 from __future__ import annotations
 
+from math import factorial
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from caseflow.session import scratch_path
 
+SHAP_ROWS = 1024  # rows explained at a time
 
 # ---------------------------------------------------------------- importance
 
@@ -135,10 +138,11 @@ def tree_nodes(model) -> tuple[list[dict], list[float], str]:
 
 
 def _goes_left(tree, node, x):
-    f = tree["feature"][node]
+    """Whether each row of ``x`` (features along the last axis) goes left at an inner node."""
+    v = x[..., tree["feature"][node]]
     if tree["ncat"][node] >= 0:
-        return x[f] in tree["cats"][node]
-    return x[f] <= tree["threshold"][node]
+        return np.isin(v, list(tree["cats"][node]))
+    return v <= tree["threshold"][node]
 
 
 def tree_expected_value(tree) -> float:
@@ -146,70 +150,41 @@ def tree_expected_value(tree) -> float:
     return float(np.sum(tree["value"][leaves] * tree["cover"][leaves]) / tree["cover"][0])
 
 
-def _extend(m, pz, po, pi):
-    l = len(m)
-    m = [list(e) for e in m] + [[pi, pz, po, 1.0 if l == 0 else 0.0]]
-    for i in range(l - 1, -1, -1):
-        m[i + 1][3] += po * m[i][3] * (i + 1) / (l + 1)
-        m[i][3] = pz * m[i][3] * (l - i) / (l + 1)
-    return m
-
-
-def _unwind(m, i):
-    l = len(m) - 1
-    n = m[l][3]
-    m = [list(e) for e in m]
-    zi, oi = m[i][1], m[i][2]
-    for j in range(l - 1, -1, -1):
-        if oi != 0:
-            t = m[j][3]
-            m[j][3] = n * (l + 1) / ((j + 1) * oi)
-            n = t - m[j][3] * zi * (l - j) / (l + 1)
-        else:
-            m[j][3] = m[j][3] * (l + 1) / (zi * (l - j))
-    for j in range(i, l):
-        m[j][0], m[j][1], m[j][2] = m[j + 1][0], m[j + 1][1], m[j + 1][2]
-    return m[:l]
-
-
-def _unwound_sum(m, i):
-    l = len(m) - 1
-    zi, oi = m[i][1], m[i][2]
-    total, n = 0.0, m[l][3]
-    if oi != 0:
-        for j in range(l - 1, -1, -1):
-            t = n * (l + 1) / ((j + 1) * oi)
-            total += t
-            n = m[j][3] - t * zi * (l - j) / (l + 1)
-    else:
-        for j in range(l - 1, -1, -1):
-            total += m[j][3] * (l + 1) / (zi * (l - j))
-    return total
-
-
-def tree_shap_row(tree, x, phi):
-    """Add one tree's path-dependent SHAP values for row ``x`` into ``phi``."""
-    def recurse(j, m, pz, po, pi):
-        m = _extend(m, pz, po, pi)
-        left, right = tree["left"][j], tree["right"][j]
-        if left < 0:
-            v = tree["value"][j]
-            for i in range(1, len(m)):
-                phi[m[i][0]] += _unwound_sum(m, i) * (m[i][2] - m[i][1]) * v
-            return
-        hot, cold = (left, right) if _goes_left(tree, j, x) else (right, left)
-        d = tree["feature"][j]
-        iz = io = 1.0
-        for k in range(1, len(m)):
-            if m[k][0] == d:
-                iz, io = m[k][1], m[k][2]
-                m = _unwind(m, k)
-                break
-        rj = tree["cover"][j]
-        recurse(hot, m, iz * tree["cover"][hot] / rj, io, d)
-        recurse(cold, m, iz * tree["cover"][cold] / rj, 0.0, d)
-
-    recurse(0, [], 1.0, 1.0, -1)
+def _add_leaf(phi, path, value):
+    """Add one leaf's Shapley values to ``phi`` for all rows at once.
+
+    The leaf is a game in which a feature taken from the row passes its
+    conditions or not (``met``), and one not taken passes with its ``share`` of
+    the training rows.  Coalitions of the other features are summed by their
+    size: the coefficients of the product of ``share + met * t``.
+    """
+    m = len(path)
+    weight = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
+    for i, (share, met) in path.items():
+        by_size = np.zeros((len(phi), m))
+        by_size[:, 0] = 1.0
+        for k, (z, o) in path.items():
+            if k != i:
+                taken = by_size[:, :-1] * o[:, None]
+                by_size *= z
+                by_size[:, 1:] += taken
+        phi[:, i] += value * (met - share) * (by_size @ weight)
+
+
+def tree_shap_batch(tree, x):
+    """One tree's path-dependent SHAP values for every row of ``x`` (rows by features)."""
+    phi = np.zeros(x.shape)
+    todo = [(0, {})]
+    while todo:
+        j, path = todo.pop()
+        if tree["left"][j] < 0:
+            _add_leaf(phi, path, tree["value"][j])
+            continue
+        d, left = int(tree["feature"][j]), _goes_left(tree, j, x)
+        share, met = path.get(d, (1.0, True))
+        for child, way in ((int(tree["left"][j]), left), (int(tree["right"][j]), ~left)):
+            todo.append((child, {**path, d: (share * tree["cover"][child] / tree["cover"][j], met & way)}))
+    return phi
 
 
 def tree_shap(model, df: DataFrame, names: list[str], id_col: str = "case_id",
@@ -222,27 +197,18 @@ def tree_shap(model, df: DataFrame, names: list[str], id_col: str = "case_id",
     scale = 2.0 if kind == "gbt" else 1.0 / len(trees)
     tw = [w * scale for w in weights]
     base = float(sum(w * tree_expected_value(t) for w, t in zip(tw, trees)))
-    n_feat = len(names)
     spark = df.sparkSession
-    bc = spark.sparkContext.broadcast((trees, tw, n_feat))
+    bc = spark.sparkContext.broadcast((trees, tw))
 
     def explain(batches):
-        trees_, tw_, n = bc.value
+        trees_, tw_ = bc.value
         for pdf in batches:
-            ids, slots, vals, shaps = [], [], [], []
-            for cid, vec in zip(pdf[id_col], pdf["x"]):
-                x = np.asarray(vec, dtype=float)
-                phi = np.zeros(len(x))
-                for w, t in zip(tw_, trees_):
-                    part = np.zeros(len(x))
-                    tree_shap_row(t, x, part)
-                    phi += w * part
-                ids.extend([cid] * len(x))
-                slots.extend(range(len(x)))
-                vals.extend(x.tolist())
-                shaps.extend(phi.tolist())
-            yield pd.DataFrame({id_col: ids, "slot": np.asarray(slots, dtype=np.int32),
-                                "value": vals, "shap": shaps})
+            for a in range(0, len(pdf), SHAP_ROWS):
+                x = np.array(pdf["x"].iloc[a:a + SHAP_ROWS].tolist(), dtype=float)
+                phi = sum(w * tree_shap_batch(t, x) for w, t in zip(tw_, trees_))
+                yield pd.DataFrame({id_col: np.repeat(pdf[id_col].to_numpy()[a:a + SHAP_ROWS], x.shape[1]),
+                                    "slot": np.tile(np.arange(x.shape[1], dtype=np.int32), len(x)),
+                                    "value": x.ravel(), "shap": phi.ravel()})
 
     id_type = df.schema[id_col].dataType.simpleString()
     src = df.select(id_col, vector_to_array(features).alias("x"))

@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from caseflow.operators.evaluate import log_loss
-from caseflow.operators.prepare import SPLIT
+from caseflow.operators.prepare import SPLIT, class_weights
 
 # Presets of the boosted-tree variants and the tuning ranges.
 MAX_DEPTH = 30
@@ -85,8 +85,11 @@ def l2_reg_param(C: float, n_train: int) -> float:
     return 1.0 / (C * max(n_train, 1))
 
 
-def fit(prepared: DataFrame, kind: str, label: str, features: str = "features", **params):
+def fit(prepared: DataFrame, kind: str, label: str, features: str = "features", balanced: bool = False, **params):
+    """Model fitted on the train rows; ``balanced`` weighs each class by n / (k · n_class)."""
     train = prepared.where(F.col(SPLIT) == "train")
+    if balanced:
+        train, params["weight"] = class_weights(train, label, "_weight"), "_weight"
     if kind == "logit" and "reg_param" not in params:
         params["reg_param"] = l2_reg_param(params.get("C", PRESETS["logit"]["C"]), train.count())
     return make_estimator(kind, label, features, **params).fit(train)

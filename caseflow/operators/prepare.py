@@ -78,9 +78,14 @@ def split_summary(df: DataFrame, label: str) -> DataFrame:
                                  F.round(F.avg(F.col(label).cast("double")), 3).alias("rate")).orderBy(SPLIT)
 
 
+def nan_to_null(column: str) -> Column:
+    """The column as a double; a NaN counts as missing."""
+    return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+
+
 def train_medians(df: DataFrame, numeric: list[str]) -> DataFrame:
     """One row: the train median of each numeric column (null if all null)."""
-    train = df.where(F.col(SPLIT) == "train").select(*[F.col(c).cast("double").alias(c) for c in numeric])
+    train = df.where(F.col(SPLIT) == "train").select(*[nan_to_null(c).alias(c) for c in numeric])
     long = train.unpivot([], numeric, "column_name", "value")
     med = exact_quantiles(long, "value", [0.5], ["column_name"], ["m"])
     # pivot over the known column list: one row, a column per feature (null if all null)
@@ -88,17 +93,24 @@ def train_medians(df: DataFrame, numeric: list[str]) -> DataFrame:
 
 
 def impute_numeric(df: DataFrame, numeric: list[str]) -> DataFrame:
-    """Null → train median, then → 0 (all-null column).  One-row broadcast."""
+    """Null or NaN → train median, then → 0 (all-null column).  One-row broadcast."""
     med = train_medians(df, numeric).select(*[F.col(c).alias(f"_m_{c}") for c in numeric])
     out = df.crossJoin(F.broadcast(med))
-    return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}"), F.lit(0.0))
+    return out.withColumns({c: F.coalesce(nan_to_null(c), F.col(f"_m_{c}"), F.lit(0.0))
                             for c in numeric}).drop(*[f"_m_{c}" for c in numeric])
 
 
 def train_modes(df: DataFrame, categorical: list[str]) -> DataFrame:
-    """One row: most frequent train value per column, smallest on ties."""
-    train = df.where(F.col(SPLIT) == "train")
-    return train.agg(*[F.mode(F.col(c), deterministic=True).alias(c) for c in categorical])
+    """One row: most frequent train value per column (as text), smallest on ties.
+
+    Values are counted over all tasks first; the maximum of the counts combines
+    map-side, so no task holds a column's vocabulary.
+    """
+    train = df.where(F.col(SPLIT) == "train").select(*[F.col(c).cast("string").alias(c) for c in categorical])
+    counts = (train.unpivot([], categorical, "column_name", "value").where("value is not null")
+              .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
+    top = counts.groupBy("column_name").agg(F.min(F.struct((-F.col("n")).alias("rank"), "value"))["value"].alias("m"))
+    return top.groupBy().pivot("column_name", categorical).agg(F.first("m"))
 
 
 def impute_categorical(df: DataFrame, categorical: list[str]) -> DataFrame:

@@ -64,6 +64,8 @@ def log_overview(df: DataFrame, cols: LogCols = CANONICAL) -> DataFrame:
 
 def _long(df: DataFrame, columns: list[str], cast: str) -> DataFrame:
     wide = df.select(*[F.col(c).cast(cast).alias(c) for c in columns])
+    if cast == "double":  # a NaN counts as missing
+        wide = wide.select(*[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in columns])
     return wide.unpivot([], columns, "column_name", "value")
 
 

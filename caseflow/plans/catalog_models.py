@@ -23,13 +23,17 @@ from caseflow.session import scratch_path
 # Small, fast settings for the registered runs (the presets stay available).
 SMALL = {"gbt": {"n_estimators": 20, "max_depth": 4},
          "gbt_sampled": {"n_estimators": 20, "max_depth": 4},
+         "gbt_symmetric": {"iterations": 20, "depth": 4},
          "forest": {"n_estimators": 20, "max_depth": 5},
          "logit": {}}
 
 
 def prepared(spark, sf_dir):
+    """Fitted preparation and the prepared cases, written once: fits and scores read them again and again."""
     prep, frame = D.prepare_vectors(split_cases(spark, sf_dir), NUMERIC, CATEGORICAL)
-    return prep, frame
+    path = scratch_path(spark, "prepared")
+    frame.write.parquet(path)
+    return prep, spark.read.parquet(path)
 
 
 def slot_names(prep) -> list[str]:
@@ -42,9 +46,9 @@ def slot_names(prep) -> list[str]:
     return names
 
 
-def _scored(spark, sf_dir, kind):
+def _scored(spark, sf_dir, kind, balanced=False):
     _, frame = prepared(spark, sf_dir)
-    model = M.fit(frame, kind, LABEL, **SMALL[kind])
+    model = M.fit(frame, kind, LABEL, balanced=balanced, **SMALL[kind])
     out = M.score(model, frame)
     return out.select("case_id", "split", F.col(LABEL).alias("y"), "score", "pred")
 
@@ -55,11 +59,17 @@ def q_prepare_vectors(spark, sf_dir):
     return frame.select("case_id", "split", LABEL, vector_to_array("features").alias("features"))
 
 
-for _key, _kind in {"train_gbt": "gbt", "train_gbt_sampled": "gbt_sampled", "train_forest": "forest",
-                    "train_logit": "logit"}.items():
+for _key, _kind in {"train_gbt": "gbt", "train_gbt_sampled": "gbt_sampled", "train_gbt_symmetric": "gbt_symmetric",
+                    "train_forest": "forest", "train_logit": "logit"}.items():
     register(_key)(lambda spark, sf_dir, _k=_kind: _scored(spark, sf_dir, _k))
 
 
+@register("train_balanced")
+def q_train_balanced(spark, sf_dir):
+    """M6 fed to a fit: the logistic model with balanced class weights."""
+    return _scored(spark, sf_dir, "logit", balanced=True)
+
+
 @register("score_cases")
 def q_score_cases(spark, sf_dir):
     return _scored(spark, sf_dir, "gbt").where(F.col("split") == "test")
@@ -69,13 +79,12 @@ def q_score_cases(spark, sf_dir):
 def q_model_comparison(spark, sf_dir):
     """val/test AUC and class-1 precision, recall, F1 per model, by val AUC."""
     _, frame = prepared(spark, sf_dir)
-    frame = frame.cache()
-    parts = []
-    for kind in ("gbt", "forest", "logit"):
+    scored = None
+    for kind in M.PRESETS:
         m = M.fit(frame, kind, LABEL, **SMALL[kind])
         s = M.score(m, frame.where(F.col("split").isin("val", "test")))
-        parts.append(s.select(F.lit(kind).alias("model"), "split", F.col(LABEL).alias("y"), "score", "pred"))
-    scored = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        s = s.select(F.lit(kind).alias("model"), "split", F.col(LABEL).alias("y"), "score", "pred")
+        scored = s if scored is None else scored.unionByName(s)
     rep = E.classification_report(scored, keys=["model", "split"]).where(F.col("label") == "1") \
         .select("model", "split", "precision", "recall", "f1_score")
     auc = E.auc(scored, keys=["model", "split"])
@@ -87,7 +96,7 @@ def q_model_comparison(spark, sf_dir):
 @register("tune_random")
 def q_tune_random(spark, sf_dir):
     _, frame = prepared(spark, sf_dir)
-    table, _ = M.tune_random(frame.cache(), LABEL, n_trials=4, n_estimators=10, parallelism=2)
+    table, _ = M.tune_random(frame, LABEL, n_trials=4, n_estimators=10, parallelism=2)
     return table
 
 

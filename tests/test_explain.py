@@ -37,8 +37,7 @@ def test_tree_shap_matches_brute_force():
     n = 3
     for x in ([0.0, 0.0, 9.0], [1.0, 1.0, 0.0], [2.0, 0.0, 1.0]):
         x = np.array(x)
-        phi = np.zeros(n)
-        X.tree_shap_row(t, x, phi)
+        phi = X.tree_shap_batch(t, x[None, :])[0]
         brute = np.zeros(n)
         for i in range(n):
             others = [k for k in range(n) if k != i]
@@ -62,6 +61,18 @@ def test_tree_shap_additive_on_gbt(spark):
         assert abs(b + s[r["case_id"]] - math.log(r["score"] / (1 - r["score"]))) < 1e-9
 
 
+def test_tree_shap_additive_on_forest(spark):
+    from caseflow.plans.catalog_models import LABEL, prepared, slot_names
+    prep, frame = prepared(spark, SF_SMALL)
+    model = M.fit(frame, "forest", LABEL, n_estimators=4, max_depth=6)
+    test = X.choose_split(frame, "test")
+    long, base = X.tree_shap(model, test, slot_names(prep))
+    b = base.first()[0]
+    s = {r["case_id"]: r["s"] for r in long.groupBy("case_id").agg(F.sum("shap").alias("s")).collect()}
+    for r in M.score(model, test).select("case_id", "score").collect():
+        assert abs(b + s[r["case_id"]] - r["score"]) < 1e-9
+
+
 def test_choose_split_rejects_unknown(spark):
     import pytest
     df = spark.createDataFrame([("train",)], "split string")

@@ -66,3 +66,25 @@ def test_too_deep_trees_are_an_error():
     with pytest.raises(ValueError):
         M._depth(31)
     assert M._depth(None) == M._depth(-1) == 30
+
+
+def test_nan_is_missing_and_mode_takes_the_smallest_on_ties(spark):
+    from caseflow.operators.profiling import describe_numeric
+    df = spark.createDataFrame(
+        [("train", 1.0, "b"), ("train", 3.0, "a"), ("train", float("nan"), "a"), ("train", None, "b"), ("val", float("nan"), None)],
+        "split string, x double, c string")
+    out = D.impute_categorical(D.impute_numeric(df, ["x"]), ["c"]).collect()
+    assert sorted(r["x"] for r in out) == [1.0, 2.0, 2.0, 2.0, 3.0]
+    assert [r["c"] for r in out if r["split"] == "val"] == ["a"]
+    d = describe_numeric(df, ["x"]).first()
+    assert (d["count"], d["mean"], d["p50"], d["max"]) == (2, 2.0, 2.0, 3.0)
+
+
+def test_balanced_fit_changes_the_scores(spark):
+    from pyspark.ml.linalg import Vectors
+    from caseflow.operators import models as M
+    rows = [("train", float(i % 7 == 0), Vectors.dense([i % 5, i % 7])) for i in range(70)]
+    df = spark.createDataFrame(rows, ["split", "y", "features"])
+    plain = M.fit(df, "logit", "y", reg_param=1.0)
+    even = M.fit(df, "logit", "y", balanced=True, reg_param=1.0)
+    assert even.intercept > plain.intercept
