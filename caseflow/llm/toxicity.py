@@ -3,9 +3,10 @@
 *Weights.* Words (lower-cased runs without ASCII punctuation, hashed into
 ``BUCKETS``) get the log-odds between toxic and other labelled documents under
 an informative Dirichlet prior proportional to the overall counts (a document
-counts a word once); weights below
-``Z`` standard deviations count as 0.  Every word also pays ``DRIFT``, so random
-text scores negative.
+counts a word once), shrunk by the evidence: a word whose spread over the labels
+has the likelihood-ratio statistic g keeps the share 1 - ``CHANCE`` / g, and
+nothing if g is less.  Every word also pays ``DRIFT``, so random text scores
+negative.
 
 *Segments.* One linear scan finds all maximal scoring segments of a text: each
 positive word opens a segment, which merges back over a list of open ones.
@@ -43,7 +44,7 @@ from caseflow.llm import common as C
 BUCKETS = 1 << 20
 TRAIN_DOCS = 100_000
 PRIOR = 0.01             # mass of the prior, as a share of all counts
-Z = 4.0
+CHANCE = 12.0            # at this statistic a word is put down to chance, exp(-6)
 DRIFT = 0.05
 EXPECT = 0.05
 BIN = 0.1
@@ -112,6 +113,16 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell]), pa.array(docs[cell])], names=["cell", "n", "d"])
 
 
+def _evidence(toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Likelihood-ratio statistic of each word's counts against equal shares; zero counts are exact."""
+    share = toxic.sum() / (toxic.sum() + other.sum())
+    both = np.maximum(toxic + other, 1)
+
+    def part(x, expected):
+        return x * np.log(np.where(x > 0, x, 1) / np.where(x > 0, expected, 1))
+    return 2 * (part(toxic, both * share) + part(other, both * (1 - share)))
+
+
 def _train_statistics(model, what: str):
     """Histograms over the training documents: of segment scores, or of the statistic."""
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     prior = PRIOR * (other + toxic) + 1e-6
     mass = prior.sum()
     ratio = (np.log((toxic + prior) / (n1 + mass - toxic - prior)) - np.log((other + prior) / (n0 + mass - other - prior)))
-    spread = np.sqrt(1 / (toxic + prior) + 1 / (other + prior))
-    weights = np.where(np.abs(ratio) >= Z * spread, ratio, 0.0) - DRIFT
+    weights = ratio * np.maximum(0.0, 1 - CHANCE / np.maximum(_evidence(toxic, other), 1e-9)) - DRIFT
     model = Model(weights)
     ordinary_words = tokens[:BUCKETS].sum()
     model.rate = _decay(weights, tokens[:BUCKETS] / ordinary_words)

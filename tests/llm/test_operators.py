@@ -312,6 +312,21 @@ def test_toxicity(spark, empty):
     assert {x.score for x in toxicity.score(df, none, "doc_id").collect()} == {0.0}
 
 
+def test_toxicity_with_few_labels(spark):
+    """Some 45 toxic training documents: words seen in 9-18 of them and in no other one carry weight."""
+    sf = "/root/testdata/sf0.01"
+    insults = {"idiot", "trash", "worthless", "clown", "scum", "stupid", "moron", "loser", "pathetic", "disgusting"}
+    docs = spark.read.parquet(sf + "/documents.parquet").withColumn("held_out", common.held_out())
+    labels = spark.read.parquet(sf + "/labels.parquet")
+    model = toxicity.train(docs.where("not held_out"), labels.where(~common.held_out()))
+    held = docs.where("held_out").join(labels.where("toxic in (0, 1)"), "doc_id")
+    texts = {x.doc_id: (x.text or "", x.toxic) for x in held.collect()}
+    bad = {i for i, (t, toxic) in texts.items() if toxic and insults & set(re.findall("[a-z]+", t.lower()))}
+    out = {x.doc_id: x for x in toxicity.score(held, model, "doc_id").collect()}
+    assert len(bad) >= 4 and {i for i in out if out[i].score > 0.5} == bad
+    assert all(out[i].passages for i in bad)
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(2)
     base = r.normal(size=(40, 16))
