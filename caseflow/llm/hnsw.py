@@ -4,16 +4,21 @@ Equal vectors form one class.  Classes are dealt to shards by hash, at most
 ``SHARD_ROWS`` on average.  Every shard gets a hierarchical navigable small-world
 graph: each layer holds a random part of the one below, and is built from the
 top, in batches that are searched in lockstep.  Every shard's vectors then query
-every shard.
-
-*Beams.* A query whose beam is full of hits repeats with twice the beam.  A
-fixed part of each shard (``AUDIT``) is also compared with the whole other shard;
-while the graph finds less than ``RECALL`` of its links, all beams of the pair
-of shards double, up to the shard's size, where the search is exhaustive.
-
-*Results.* Each candidate is verified by cosine in double precision.  A task
-returns link counts and a spanning forest of its links, never all pairs; the
-forests are united into components.
+every shard, and links that either side finds count.
+
+*Beams.* A query whose beam is full of hits repeats with twice the beam, and
+beyond ``WIDEST`` is compared with the whole shard.  A fixed part of each shard
+(``AUDIT``) is also compared with the whole other shard, and so are as many
+planted near copies of the other shard's vectors; while the graph finds less
+than ``RECALL`` of the links of either, averaged over the queries that have any,
+all beams of the pair of shards double.  If the audited vectors of all pairs of
+shards together had found less at the first beam, everything repeats with twice
+that beam.
+
+*Results.* A candidate within rounding of the threshold is verified by cosine in
+double precision.  A task counts links and unites them part by part and returns
+the counts and a spanning forest, never all pairs; the forests are united into
+components.
 
 A vector that is null, empty, all zero or holds a null or non-finite component
 links with nothing; vectors of different lengths are not compared.  A null
@@ -42,6 +47,8 @@ BATCH = 256
 AUDIT = 0.02            # share of a shard that is audited, at least AUDIT_LEAST vectors
 AUDIT_LEAST = 64
 RECALL = 0.98
+WIDEST = 256            # a wider beam is replaced by comparing with the whole shard
+PART = 1 << 20          # comparisons at a time
 
 
 class Graph:
@@ -163,31 +170,36 @@ class Graph:
             self._link_back(table, new)
             placed += len(new)
 
-    def search(self, queries: np.ndarray, width: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """Query and vector numbers of the found pairs of at least ``threshold``."""
+    def parts(self, queries: np.ndarray, width: int, threshold: float):
+        """Pairs of at least ``threshold`` in parts of bounded size.
+
+        Each part has query numbers, vector numbers, similarities and the queries
+        it compared with every vector (none if it followed the graph).
+        """
         n = len(self.vectors)
-        entry = self.layers[0][0][:1]
-        if width >= n:
-            return np.nonzero(queries @ self.vectors.T >= threshold)
-        upper = Graph.__new__(Graph)
-        upper.vectors, upper.layers = self.vectors, self.layers[:-1]
-        at = upper._entry(queries, entry)
-        found_q, found_v = [], []
         todo = np.arange(len(queries))
-        while len(todo):
-            if width >= n:
-                a, b = np.nonzero(queries[todo] @ self.vectors.T >= threshold)
-                found_q.append(todo[a])
-                found_v.append(b)
-                break
+        if width < n and width <= WIDEST:
+            upper = Graph.__new__(Graph)
+            upper.vectors, upper.layers = self.vectors, self.layers[:-1]
+            at = upper._entry(queries, self.layers[0][0][:1])
+        while len(todo) and width < n and width <= WIDEST:
             ids, sims = self._beam(queries[todo], at[todo][:, None], self.layers[-1][1], width)
             hit = sims >= threshold
             full = hit[:, -1]
             a, b = np.nonzero(hit & ~full[:, None])
-            found_q.append(todo[a])
-            found_v.append(ids[a, b])
+            yield todo[a], ids[a, b], sims[a, b], todo[:0]
             todo, width = todo[full], width * 2
-        return np.concatenate(found_q), np.concatenate(found_v)
+        step = max(1, PART // max(1, n))
+        for x in range(0, len(todo), step):
+            some = todo[x:x + step]
+            sims = queries[some] @ self.vectors.T
+            a, b = np.nonzero(sims >= threshold)
+            yield some[a], b, sims[a, b], some
+
+    def search(self, queries: np.ndarray, width: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Query and vector numbers of the found pairs of at least ``threshold``."""
+        found = [(q, v) for q, v, _, _ in self.parts(queries, width, threshold)]
+        return np.concatenate([q for q, _ in found]), np.concatenate([v for _, v in found])
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -226,38 +238,116 @@ class _Forest:
                 self.edges.append((x, y))
 
 
-def match_shards(left: dict, right: dict, same: bool, threshold: float):
-    """Links between two shards: neighbour counts of both sides, forest edges, recall and beam."""
-    a, b, graph = left["vectors"], right["vectors"], right["graph"]
-    ua, near = unit(a), threshold - 1e-4
-    audited = np.flatnonzero(np.random.default_rng(11).random(len(a)) < max(AUDIT, AUDIT_LEAST / len(a)))
-    beam, recall = FIRST_BEAM, 1.0
-    truth = [np.nonzero(ua[x] @ graph.vectors.T >= near) for x in np.array_split(audited, max(1, len(audited) // BATCH))]
-    total = sum(len(t[0]) for t in truth)
-    while total:
-        seen = sum(len(graph.search(ua[x], beam, near)[0]) for x in np.array_split(audited, max(1, len(audited) // BATCH)))
-        recall = seen / total
-        if recall >= RECALL or beam >= len(b):
-            break
+def planted(vectors: np.ndarray, n: int, threshold: float) -> np.ndarray:
+    """Unit vectors with a cosine of ``threshold`` to 1 to ``n`` of the given ones, in random directions."""
+    r = np.random.default_rng(13)
+    base = vectors[r.integers(0, len(vectors), n)].astype(np.float64)
+    away = r.normal(size=base.shape)
+    away -= (away * base).sum(1, keepdims=True) * base
+    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
+    t = r.uniform(threshold, 1, (n, 1))
+    return unit(t * base + np.sqrt(1 - t * t) * away)
+
+
+def _found(graph: Graph, queries: np.ndarray, own: np.ndarray, beam: int, near: float) -> np.ndarray:
+    """Vectors found by each query, without itself (``own``, -1 if it isn't there)."""
+    n = np.zeros(len(queries), np.int64)
+    for x in range(0, len(queries), BATCH):
+        for q, v, _, _ in graph.parts(queries[x:x + BATCH], beam, near):
+            n += np.bincount((q + x)[v != own[q + x]], minlength=len(queries))
+    return n
+
+
+def audit(queries: np.ndarray, graph: Graph, same: bool, threshold: float, near: float, beam: int):
+    """The beam that finds enough, and of the audited queries at the first beam: their number, their found shares' sum."""
+    least = max(AUDIT, AUDIT_LEAST / len(queries))
+    some = np.flatnonzero(np.random.default_rng(11).random(len(queries)) < least)
+    made = planted(graph.vectors, max(1, len(some)), threshold)
+    probes = [(queries[some], some if same else np.full(len(some), -1)), (made, np.full(len(made), -1))]
+    truth = [_found(graph, q, own, len(graph.vectors), near) for q, own in probes]
+    first = None
+    while True:
+        shares = [(_found(graph, q, own, beam, near) / np.maximum(t, 1))[t > 0] for (q, own), t in zip(probes, truth)]
+        first = first or (len(shares[0]), float(shares[0].sum()))
+        recall = min((float(x.mean()) for x in shares if len(x)), default=1.0)
+        if recall >= RECALL or beam >= len(graph.vectors) or beam > WIDEST:
+            return beam, recall, first
         beam *= 2
-    codes = []
-    for x in range(0, len(a), BATCH):
-        q, v = graph.search(ua[x:x + BATCH], beam, near)
-        q = q + x
-        ok = cosine(a[q], b[v]) >= threshold
-        if same:
-            ok &= q != v
-            q, v = np.minimum(q, v), np.maximum(q, v)
-        codes.append((q * len(b) + v)[ok])
-    pairs = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
-    q, v = pairs // len(b), pairs % len(b)
-    count_a = np.bincount(q, right["copies"][v], len(a)).astype(np.int64)
-    count_b = np.bincount(v, left["copies"][q], len(b)).astype(np.int64)
+
+
+def match_shards(left: dict, right: dict, same: bool, threshold: float, beam: int = FIRST_BEAM):
+    """Links between two shards: neighbour counts of both sides, forest edges, recall, beam and audited queries.
+
+    Both sides search the other's graph.  Links are counted and united part by
+    part; kept are only those of queries that followed the graph, under
+    ``WIDEST`` each, to tell which links the other side found as well.
+    """
+    a, b = left["vectors"], right["vectors"]
+    margin = max(1e-4, 2e-7 * a.shape[1])
+    near, sure = threshold - margin, threshold + margin
+    shift = 0 if same else len(a)
+    count_a, count_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
     forest = _Forest(len(a) + (0 if same else len(b)))
-    forest.add(q, v if same else v + len(a))
-    names = left["keys"] if same else np.concatenate([left["keys"], right["keys"]])
-    counts = count_a + count_b if same else np.concatenate([count_a, count_b])
-    return names, counts, forest.edges, recall, beam
+    whole = np.zeros(len(a), bool)
+    kept: list[np.ndarray] = []
+
+    def links(x, vectors, others, graph, units, width):
+        """Verified links of queries ``x``, and the queries that were compared with all."""
+        for q, v, s, all_of in graph.parts(units[x], width, near):
+            q = x[q]
+            ok = s >= sure
+            doubt = np.flatnonzero(~ok)
+            for y in range(0, len(doubt), 1 << 16):
+                some = doubt[y:y + (1 << 16)]
+                ok[some] = cosine(vectors[q[some]], others[v[some]]) >= threshold
+            if same:
+                ok &= q != v
+            yield q[ok], v[ok], x[all_of], len(all_of) > 0
+
+    def count(q, v):
+        np.add.at(count_a, q, right["copies"][v])
+        if not same:
+            np.add.at(count_b, v, left["copies"][q])
+        forest.add(q, v + shift)
+
+    ua = left["graph"].vectors
+    width, recall, audited = audit(ua, right["graph"], same, threshold, near, beam)
+    for x in range(0, len(a), BATCH):
+        for q, v, all_of, exact in links(np.arange(x, min(x + BATCH, len(a))), a, b, right["graph"], ua, width):
+            count(q, v)
+            whole[all_of] = True
+            if not exact:
+                kept.append(q * len(b) + v)
+    known = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    kept.clear()
+    known.sort()
+
+    def count_new(q, v):
+        """Links of a's vectors that only the other side found."""
+        code = (q * len(b) + v)[~whole[q]]
+        if len(known):
+            spot = np.minimum(np.searchsorted(known, code), len(known) - 1)
+            code = code[known[spot] != code]
+        count(code // len(b), code % len(b))
+
+    if same:
+        for x in range(0, len(known), 1 << 20):
+            count_new(known[x:x + (1 << 20)] % len(b), known[x:x + (1 << 20)] // len(b))
+        again = np.flatnonzero(whole) if not whole.all() else np.zeros(0, np.int64)
+        for x in range(0, len(again), BATCH):
+            for q, v, _, _ in links(again[x:x + BATCH], a, b, right["graph"], ua, len(b)):
+                count_new(v, q)
+        return left["keys"], count_a, forest.edges, recall, width, audited
+    if not whole.all():
+        ub = right["graph"].vectors
+        back, recall_b, audited_b = audit(ub, left["graph"], same, threshold, near, beam)
+        for x in range(0, len(b), BATCH):
+            for v, q, _, _ in links(np.arange(x, min(x + BATCH, len(b))), b, a, left["graph"], ub, back):
+                count_new(q, v)
+        recall, width = min(recall, recall_b), max(width, back)
+        audited = audited[0] + audited_b[0], audited[1] + audited_b[1]
+    return (np.concatenate([left["keys"], right["keys"]]), np.concatenate([count_a, count_b]), forest.edges,
+            recall, width, audited)
 
 
 def _build(table: pa.Table) -> pa.Table:
@@ -282,23 +372,25 @@ def _load(blob: bytes) -> dict:
     return d
 
 
-def _query(threshold: float):
+def _query(threshold: float, first_beam: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 a, b = batch.column("a")[i].as_py(), batch.column("b")[i].as_py()
                 left = _load(batch.column("ga")[i].as_py())
                 right = left if a == b else _load(batch.column("gb")[i].as_py())
-                names, counts, edges, recall, beam = match_shards(left, right, a == b, threshold)
+                names, counts, edges, recall, beam, audited = match_shards(left, right, a == b, threshold, first_beam)
                 some = np.flatnonzero(counts)
                 none = [None] * len(some)
                 x, y = zip(*edges) if edges else ((), ())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([names[some], names[list(x)] if x else names[:0]])),
-                     pa.array(none + (names[list(y)].tolist() if y else []), pa.int64()),
-                     pa.array(counts[some].tolist() + [None] * len(edges), pa.int64()),
-                     pa.array([recall] * (len(some) + len(edges)), pa.float64()),
-                     pa.array([beam] * (len(some) + len(edges)), pa.int64())], names=["u", "v", "n", "recall", "beam"])
+                rest = [None] * (len(some) + len(edges))
+                yield pa.RecordBatch.from_arrays(  # the last row tells of the audit
+                    [pa.array(names[some].tolist() + (names[list(x)].tolist() if x else []) + [None], pa.int64()),
+                     pa.array(none + (names[list(y)].tolist() if y else []) + [None], pa.int64()),
+                     pa.array(counts[some].tolist() + [None] * (len(edges) + 1), pa.int64()),
+                     pa.array([recall] * (len(rest) + 1), pa.float64()), pa.array([beam] * (len(rest) + 1), pa.int64()),
+                     pa.array(rest + [audited[0]], pa.int64()), pa.array(rest + [audited[1]], pa.float64())],
+                    names=["u", "v", "n", "recall", "beam", "audited", "shares"])
     return fn
 
 
@@ -320,8 +412,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     pairs = ids.select("dim", "a", F.explode(F.sequence("a", F.lit(shards - 1))).alias("b"))
     loaded = (pairs.join(graphs.select("dim", F.col("shard").alias("a"), F.col("graph").alias("ga")), ["dim", "a"])
               .join(graphs.select("dim", F.col("shard").alias("b"), F.col("graph").alias("gb")), ["dim", "b"]))
-    found = scratch.write(loaded.repartition(max(1, shards * (shards + 1) // 2), "a", "b").select("a", "b", "ga", "gb").mapInArrow(
-        _query(threshold), "u bigint, v bigint, n bigint, recall double, beam bigint"), "found")
+    dealt_pairs = loaded.repartition(max(1, shards * (shards + 1) // 2), "a", "b").select("a", "b", "ga", "gb")
+    beam = FIRST_BEAM
+    while True:
+        found = scratch.write(dealt_pairs.mapInArrow(
+            _query(threshold, beam), "u bigint, v bigint, n bigint, recall double, beam bigint, audited bigint, shares double"), "found")
+        pooled = found.agg(F.sum("audited").alias("n"), F.sum("shares").alias("shares")).first()
+        if beam > WIDEST or (pooled["shares"] or 0) >= RECALL * (pooled["n"] or 0):
+            break
+        beam *= 2
     comp = scratch.write(C.components(found.where("v is not null").select(F.col("u").alias("a"), F.col("v").alias("b")), scratch),
                          "components")
     links = found.where("n is not null").groupBy("u").agg(F.sum("n").alias("n"))

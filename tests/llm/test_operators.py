@@ -358,6 +358,42 @@ def test_graph_recall():
     assert len(q) >= 0.97 * true
 
 
+def _shard(vectors, first_key=0):
+    u = hnsw.unit(vectors)
+    return {"vectors": vectors, "keys": np.arange(first_key, first_key + len(u)), "copies": np.ones(len(u), np.int64),
+            "graph": hnsw.Graph(u)}
+
+
+def test_lone_pairs_through_a_bad_graph():
+    """No audited vector has a true link; planted near copies tell that the graph finds little."""
+    r = np.random.default_rng(21)
+    a, b = r.normal(size=(1500, 32)), r.normal(size=(1500, 32))
+    audited = np.random.default_rng(11).random(1500) < max(hnsw.AUDIT, hnsw.AUDIT_LEAST / 1500)
+    lone = np.flatnonzero(~audited)[::300]
+    b[lone] = a[lone] + 0.02 * r.normal(size=(len(lone), 32))
+    left, right = _shard(a), _shard(b, 1500)
+    for shard in (left, right):
+        shard["graph"].layers[-1][1][:] = -1  # no links left on the lowest layer
+    names, counts, edges = hnsw.match_shards(left, right, False, 0.95)[:3]
+    assert {int(names[x]) for x in np.flatnonzero(counts)} == {*lone.tolist(), *(lone + 1500).tolist()}
+    assert len(edges) == len(lone)
+
+
+def test_links_found_from_one_side_count_for_both():
+    r = np.random.default_rng(22)
+    base = r.normal(size=(600, 24))
+    v = np.concatenate([base, base[:200] + 0.02 * r.normal(size=(200, 24)), base[:1] + 0.01 * r.normal(size=(400, 24))])
+    for same in (True, False):
+        left = _shard(v)
+        right = left if same else _shard(v[::-1] + 0.01 * r.normal(size=v.shape), 5000)
+        names, counts, edges = hnsw.match_shards(left, right, same, 0.95)[:3]
+        true = hnsw.cosine(left["vectors"][:, None].repeat(len(v), 1).reshape(-1, 24), np.tile(right["vectors"], (len(v), 1))) >= 0.95
+        true = true.reshape(len(v), len(v))
+        if same:
+            np.fill_diagonal(true, False)
+        assert counts.tolist() == (true.sum(1) if same else np.concatenate([true.sum(1), true.sum(0)])).tolist()
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(200).select((F.col("id") * 7 % 200).alias("a"), ((F.col("id") + 1) * 7 % 200).alias("b"))
     out = common.components(edges, common.Scratch(spark, "test"))
