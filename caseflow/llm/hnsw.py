@@ -228,9 +228,16 @@ class _Forest:
         return int(x)
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        for x in range(0, len(a), 1 << 15):
+            self._add(a[x:x + (1 << 15)], b[x:x + (1 << 15)])
+
+    def _add(self, a: np.ndarray, b: np.ndarray) -> None:
         while (self.parent != self.parent[self.parent]).any():
             self.parent = self.parent[self.parent]
-        open_ = self.parent[a] != self.parent[b]
+        ra, rb = self.parent[a], self.parent[b]
+        open_ = np.flatnonzero(ra != rb)
+        if len(open_):  # one link for each pair of trees
+            open_ = open_[np.unique(ra[open_] * len(self.parent) + rb[open_], return_index=True)[1]]
         for x, y in zip(a[open_].tolist(), b[open_].tolist()):
             rx, ry = self.root(x), self.root(y)
             if rx != ry:

@@ -394,6 +394,18 @@ def test_links_found_from_one_side_count_for_both():
         assert counts.tolist() == (true.sum(1) if same else np.concatenate([true.sum(1), true.sum(0)])).tolist()
 
 
+def test_memory_of_one_large_group():
+    import tracemalloc
+    r = np.random.default_rng(23)
+    left, right = (_shard(np.ones((1, 8)) + 0.01 * r.normal(size=(4000, 8)), k) for k in (0, 4000))
+    tracemalloc.start()
+    names, counts, edges = hnsw.match_shards(left, right, False, 0.95)[:3]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (counts == 4000).all() and len(edges) == 7999
+    assert peak < 120e6  # all 1.6e7 links at once are 128 MB a copy
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(200).select((F.col("id") * 7 % 200).alias("a"), ((F.col("id") + 1) * 7 % 200).alias("b"))
     out = common.components(edges, common.Scratch(spark, "test"))
