@@ -7,18 +7,22 @@ words are.  A document's seed hits of one item are gathered into passages, and
 each passage with two different seeds (or with all the item has) is aligned with
 the item by Smith-Waterman over words (match 2, mismatch and gap -1).  The
 score is the best local alignment over that of a full copy; paraphrased and
-edited copies keep a high one.
+edited copies keep a high one.  A passage counts from the threshold on, or from
+the alignment of ``ENOUGH`` exact words on, however long the item is.
 
 Items come to the documents, in blocks of at most ``BLOCK_GRAMS`` trigrams; each
 block is one pass over the documents, and texts are never shuffled.  Words are
-lower-cased runs without ASCII punctuation.
+lower-cased runs without ASCII punctuation; in scripts that put no spaces between
+words (Han, kana, Thai, Lao, Khmer, Burmese) every character is one.  ``ENOUGH``
+and ``MIN_WORDS`` take two Han or kana characters for a word, four of the others.
 
-Null and empty texts match nothing, items of under ``MIN_WORDS`` words are not
-searched for, repeated rows are reported each.  Extra columns are ignored.
+Items of under ``MIN_WORDS`` words are found as exact copies of the whole.  Null
+and empty texts match nothing, repeated rows are reported each.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +37,21 @@ STRETCH = 4
 MIN_WORDS = 8
 BLOCK_GRAMS = 1 << 20
 THRESHOLD = 0.5
+ENOUGH = 13             # exact words that are a copy by themselves
 MATCH, MISMATCH, GAP = 2, -1, -1
 FILTER_BITS = 22
+# UTF-8 characters of scripts without spaces, and their punctuation
+HAN = rb"\xe3[\x81-\x83\x90-\xbf][\x80-\xbf]|[\xe4-\xe9][\x80-\xbf]{2}|\xef[\xa4-\xab][\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2}"
+LETTERS = rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]"
+MARKS = re.compile(rb"\xe3\x80[\x80-\x83\x88-\x9f]|\xef\xbc[\x81-\x8f\x9a-\xa0]|\xef\xbd[\x9b-\xa5]")
+SINGLE = re.compile(HAN + b"|" + LETTERS)
+HAN, LETTERS = re.compile(HAN), re.compile(LETTERS)
+WIDE = re.compile(rb"[\xe0\xe1\xe3-\xe9\xef\xf0]")
+
+
+def words_of(texts: list[bytes]) -> C.Words:
+    """Words of texts; characters of scripts without spaces are words."""
+    return C.Words([SINGLE.sub(rb" \g<0> ", MARKS.sub(b" ", t)) if WIDE.search(t) else t for t in texts], C.PLAIN)
 
 
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -66,10 +83,20 @@ class _Block:
     """Items of one block with the places of their trigrams."""
 
     def __init__(self, ids: list, texts: list[bytes]):
-        w = C.Words(texts, C.PLAIN)
-        long_enough = np.flatnonzero(w.count >= MIN_WORDS)
+        w = words_of(texts)
+        han = np.array([len(HAN.findall(t)) for t in texts], float)
+        letters = np.array([len(LETTERS.findall(t)) for t in texts], float)
+        size = w.count - han / 2 - letters * 3 / 4  # as spaced words
+        long_enough = np.flatnonzero(size >= MIN_WORDS)
         self.ids = [ids[i] for i in long_enough]
         self.words = [w.hash[w.first[i]:w.first[i + 1]] for i in long_enough]
+        self.enough = ENOUGH * MATCH * w.count[long_enough] / size[long_enough]
+        self.short: dict[int, tuple[np.ndarray, list]] = {}  # by word count: hashes of the whole, and item ids
+        for n in np.unique(w.count[(size < MIN_WORDS) & (w.count > 0)]).tolist():
+            some = np.flatnonzero((size < MIN_WORDS) & (w.count == n))
+            whole = np.array([C.windows(w.hash[w.first[i]:w.first[i + 1]], n)[0] for i in some], np.uint64)
+            values = np.unique(whole)
+            self.short[n] = values, [[ids[i] for i in some[whole == v]] for v in values]
         grams = [C.windows(x, GRAM) for x in self.words]
         self.gram = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -117,7 +144,7 @@ def _frequency(shared):
         finder = _Finder(shared.value)
         total = np.zeros(len(finder.values), np.int64)
         for _, texts in C.text_chunks(batches, "text"):
-            w = C.Words(texts, C.PLAIN)
+            w = words_of(texts)
             at, spot = finder.hits(C.windows(w.hash, GRAM))
             of = w.of()
             inside = of[at] == of[at + GRAM - 1]
@@ -136,22 +163,35 @@ def _passages(hit_pos: np.ndarray, item_pos: np.ndarray, length: int, slack: int
         yield int((h - i).min()) - slack, int((h - i).max()) + length + slack, len(np.unique(i))
 
 
+def _whole(block: _Block, finders: dict, w: C.Words):
+    """First exact copy of each short item in each text: text, item id, first word, word after."""
+    of = w.of()
+    for n, finder in finders.items():
+        at, spot = finder.hits(C.windows(w.hash, n))
+        ok = of[at] == of[at + n - 1] if len(at) else np.zeros(0, bool)
+        at, spot = at[ok], spot[ok]
+        _, first = np.unique(of[at] * len(finder.values) + spot, return_index=True)
+        for a, k in zip(at[first], spot[first]):
+            begin = int(a - w.first[of[a]])
+            for item in block.short[n][1][k]:
+                yield int(of[a]), item, 1.0, begin, begin + n
+
+
 def _align(shared, threshold: float):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         order = np.argsort(block.gram, kind="stable")
         gram, item, pos = block.gram[order], block.item[order], block.pos[order]
         finder = _Finder(gram)
+        finders = {n: _Finder(values) for n, (values, _) in block.short.items()}
         first = np.searchsorted(gram, finder.values)
         many = np.diff(np.append(first, len(gram)))
         for rows, texts in C.text_chunks(batches, "text"):
-            w = C.Words(texts, C.PLAIN)
+            w = words_of(texts)
             at, spot = finder.hits(C.windows(w.hash, GRAM))
             of = w.of()
             ok = of[at] == of[at + GRAM - 1] if len(at) else np.zeros(0, bool)
             at, spot = at[ok], spot[ok]
-            if not len(at):
-                continue
             # one line per hit and item that has the seed
             n = many[spot]
             line = np.repeat(np.arange(len(at)), n)
@@ -160,8 +200,8 @@ def _align(shared, threshold: float):
             it, ip = item[place], pos[place]
             by = np.lexsort((ip, where, it, doc))
             doc, where, it, ip = doc[by], where[by], it[by], ip[by]
-            heads = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (it[1:] != it[:-1])]))
-            out = []
+            heads = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (it[1:] != it[:-1])])[:len(doc)])
+            out = list(_whole(block, finders, w))
             for a, b in zip(heads, np.append(heads[1:], len(doc))):
                 if len(np.unique(ip[a:b])) < min(2, block.seeds[it[a]]):
                     continue
@@ -175,7 +215,7 @@ def _align(shared, threshold: float):
                     score, x, y = smith_waterman(words, passage)
                     if best is None or score > best[0]:
                         best = (score, lo + x, lo + y)
-                if best and best[0] >= threshold * MATCH * len(words):
+                if best and best[0] >= min(threshold * MATCH * len(words), block.enough[it[a]]):
                     out.append((int(d), block.ids[it[a]], best[0] / (MATCH * len(words)), best[1], best[2]))
             if out:
                 d, ids, score, x, y = zip(*out)

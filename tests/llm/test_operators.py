@@ -255,6 +255,28 @@ def test_decontamination(spark):
     assert decontam.contaminated(df, bench.where("item_id < 0")).count() == 0
 
 
+def test_decontamination_of_excerpts_short_items_and_unspaced_scripts(spark):
+    r = random.Random(15)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(2000)]
+    noise = lambda n: [r.choice(vocab) for _ in range(n)]
+    item = noise(200)
+    han = "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(90))
+    thai = "".join(chr(r.randrange(0x0E01, 0x0E2F)) for _ in range(200))
+    other = "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(400))
+    rows = [" ".join(noise(50) + item[100:125] + noise(50)), " ".join(noise(50) + item[30:40] + noise(50)),
+            " ".join(noise(20)) + " Forty-two is: it! " + " ".join(noise(5)), " ".join(noise(9)) + " forty two is that",
+            other[:100] + han[20:60] + other[100:], other + "。" + thai[:70], other[:50] + han[:20], other[:60] + thai[:30], "one", "一二", None]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "forty two is it"), (3, han), (4, thai), (5, "一二"), (6, "One."), (7, ""),
+                                   (8, "one")], "item_id bigint, text string")
+    out = {(x.doc_id, x.item_id): x for x in decontam.contaminated(df, bench).collect()}
+    assert set(out) == {(0, 1), (2, 2), (4, 3), (5, 4), (8, 6), (8, 8), (9, 5)}
+    assert (out[0, 1].word_start, out[0, 1].word_end) == (50, 75) and (out[2, 2].word_start, out[2, 2].word_end) == (20, 24)
+    assert (out[4, 3].word_start, out[4, 3].word_end) == (100, 140)
+    only_short = decontam.contaminated(df, bench.where("item_id = 2"))
+    assert [x.doc_id for x in only_short.collect()] == [2]
+
+
 def test_smith_waterman_is_exact():
     r = np.random.default_rng(6)
     for _ in range(200):
