@@ -1,16 +1,20 @@
 """Secret scan: fixed patterns plus character Markov models.
 
 The patterns find assignments, access keys and long hex strings.  Beside them
-every run of ``MIN_RUN`` or more identifier characters is scored by two
-first-order character Markov models, one of random strings and one of ordinary
-identifiers; a run whose log-likelihood ratio exceeds ``THRESHOLD`` becomes a
-span of kind ``markov`` unless it overlaps a pattern's span.
+runs of identifier characters are scored by two first-order character Markov
+models, one of random strings and one of ordinary identifiers.  A run is cut at
+``/``, ``=`` and patterns' spans; neighbouring pieces that look random (with only
+``/`` and ``=`` between them) are taken together, and become a span of kind
+``markov`` from ``MIN_RUN`` characters on if their log-likelihood ratio exceeds
+``THRESHOLD``, and ``RATE`` a character.  Pieces that look random and touch an
+access key or a hex string are the rest of a longer key and become spans as well.
 
 Training takes labelled samples ``(sample, random)``.  :func:`labelled_samples`
 draws them from at most ``TRAIN_DOCS`` documents in expectation (by content
 hash): values of the pattern spans are random strings, alphabetic identifiers
 are ordinary; digests of a number range add random strings over further
-alphabets.  The fitted table has one cell per pair of alphabet characters, so
+alphabets, and ``COMMON`` words, alone and in pairs, ordinary parts of paths and keys.
+Ordinary samples count in capitals as well.  The fitted table has one cell per pair of alphabet characters, so
 its size does not depend on the data.
 
 Only DataFrame functions run on the executors, and scanning needs no shuffle.
@@ -33,9 +37,27 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
-MIN_RUN = 20
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+MIN_RUN = 14
+MIN_NUMBER = 20  # digits alone: shorter ones are numbers of cards, phones, times
+KEY, OTHER = "\ue000", "\ue001"  # stand for the characters of patterns' spans: access and hex; assign
+RUN = rf"[A-Za-z0-9+/_={KEY}-]{{{MIN_RUN},}}"
+PIECE = rf"[A-Za-z0-9+_-]+|{KEY}+|[/=]+"
 THRESHOLD = 12.0
+RATE = 0.7
+COMMON = """account address admin api app archive article assets auth backup bin branch browser build cache catalog category
+ channel client cloud code collection comment common component config connection console content context controller
+ credential customer dashboard data database default delete deploy detail dev device directory document domain download
+ driver edit email engine entry environment error event example export factory feature file filter folder font format
+ gateway global graph group handler help history home host html http image import include index info input install
+ interface internal invoice item job key language latest layout legacy library license link list local location log
+ login main manager market master media member memory menu message method metrics model module monitor name network
+ news node notification object operation option order output package page param partner path payment platform plugin
+ policy post preferences preview process product production profile project property provider proxy public query queue
+ read record redirect reference refresh region register release remote report repository request resource response
+ result review role root route sample schedule schema script search section security server service session settings
+ share signup simple source stage static status storage store stream style submit support system table task template
+ test theme thread thumb time topic tracking transaction translation type update upload user utility value version
+ video view web widget window worker www""".split()
 TRAIN_DOCS = 20_000
 DIGESTS = 2_000
 SMOOTHING = 0.5
@@ -63,13 +85,57 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0, at_least: int
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``base`` (pattern spans) and ``runs`` (identifier runs outside them)."""
+    """Adds ``base`` (pattern spans) and ``runs`` (identifier runs, patterns' spans covered)."""
     t = F.coalesce(F.col(text), F.lit(""))
     df = (docs.withColumn("_a", _spans(t, ASSIGN, 0, 2, 6)).withColumn("_b", _spans(t, ACCESS, 1))
-          .withColumn("_c", _spans(t, HEX, 2)).withColumn("_r", _spans(t, RUN, 3)))
-    df = df.withColumn("base", F.array_sort(F.concat("_a", "_b", "_c")))
-    runs = F.filter("_r", lambda r: ~F.exists("base", lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"])))
-    return df.withColumn("runs", F.when(F.size("_r") > 0, runs).otherwise(F.col("_r"))).drop("_a", "_b", "_c", "_r")
+          .withColumn("_c", _spans(t, HEX, 2)))
+    df = df.withColumn("base", F.array_sort(F.concat("_a", "_b", "_c"))).drop("_a", "_b", "_c")
+    return df.withColumn("runs", _spans(F.when(F.size("base") > 0, _covered(t)).otherwise(t), RUN, 3))
+
+
+def _covered(text: Column) -> Column:
+    """The text with pattern spans filled by ``KEY`` or ``OTHER``, all else at its place."""
+    def step(acc, x):
+        begin = F.greatest(acc["pos"], x["s"])
+        fill = F.repeat(F.when(x["k"] == 0, F.lit(OTHER)).otherwise(F.lit(KEY)), F.greatest(x["e"] - begin, F.lit(0)))
+        return F.struct(F.greatest(begin, x["e"]).alias("pos"),
+                        F.concat(acc["out"], F.substr(text, acc["pos"] + 1, begin - acc["pos"]), fill).alias("out"))
+
+    done = F.aggregate("base", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step)
+    return F.concat(done["out"], F.substr(text, done["pos"] + 1))
+
+
+def random_parts(run: Column, model: list[float]) -> Column:
+    """Spans of the parts of a run that look random."""
+    none = F.array().cast(f"array<{SPAN}>")
+    # the open group: where it begins and ends, characters, ratio, whether it touches a key
+    start = F.struct(run["s"].alias("pos"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit(0).alias("n"),
+                     F.lit(0.0).alias("x"), F.lit(False).alias("near"), none.alias("out"))
+
+    def closed(g, touches):
+        value = F.substr(run["v"], g["s"] - run["s"] + 1, g["e"] - g["s"])
+        no_number = value.rlike("[A-Za-z]") | (value.rlike("[0-9]") & (g["n"] >= MIN_NUMBER))
+        random = (g["n"] >= MIN_RUN) & (g["x"] > THRESHOLD) & (g["x"] > RATE * g["n"]) & no_number
+        span = F.struct(g["s"].alias("s"), F.lit(3).alias("k"), g["e"].alias("e"), value.alias("v"))
+        return F.when((g["n"] > 0) & (random | g["near"] | touches), F.concat(g["out"], F.array(span))).otherwise(g["out"])
+
+    def step(g, y):
+        end = g["pos"] + F.length(y["p"])
+        key, mark = F.startswith(y["p"], F.lit(KEY)), y["p"].rlike("^[/=]")
+        grows = ~key & ~mark & (y["x"] > 0)
+        fresh = g["n"] == 0
+        ends = ~mark & ~grows
+        return F.struct(
+            end.alias("pos"), F.when(grows & fresh, g["pos"]).otherwise(g["s"]).alias("s"),
+            F.when(grows, end).otherwise(g["e"]).alias("e"),
+            F.when(grows, g["n"] + F.length(y["p"])).when(ends, F.lit(0)).otherwise(g["n"]).alias("n"),
+            F.when(grows, g["x"] + y["x"]).when(ends, F.lit(0.0)).otherwise(g["x"]).alias("x"),
+            F.when(key, F.lit(True)).when(ends | (mark & fresh), F.lit(False)).otherwise(g["near"]).alias("near"),
+            F.when(ends, closed(g, key & (g["e"] == g["pos"]))).otherwise(g["out"]).alias("out"))
+
+    pieces = F.transform(F.regexp_extract_all(run["v"], F.lit(PIECE), F.lit(0)), lambda p: F.struct(
+        p.alias("p"), F.when(p.rlike(f"^[/={KEY}]"), F.lit(0.0)).otherwise(ratio(p, model)).alias("x")))
+    return F.aggregate(pieces, start, step, lambda g: closed(g, F.lit(False)))
 
 
 def labelled_samples(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -87,8 +153,14 @@ def labelled_samples(docs: DataFrame, text: str = "text", train_docs: int = TRAI
     made = ids.select(F.explode(F.array(
         F.base64(F.unhex(digest)), F.translate(F.base64(F.unhex(digest)), "+/=", ""), F.md5("id"),
         F.upper(F.substring(F.regexp_replace(F.base64(F.unhex(digest)), "[^A-Za-z0-9]", ""), 1, 24)))).alias("sample"))
+    common = docs.sparkSession.range(len(COMMON)).select(F.element_at(F.lit(COMMON), (F.col("id") + 1).cast("int")).alias("a"))
+    plain = common.select(F.explode(F.concat(F.array("a", F.initcap("a")), F.flatten(F.transform(
+        F.lit(COMMON[::8]), lambda b: F.array(F.concat("a", F.lit("_"), b), F.concat("a", F.lit("-"), b), F.concat("a", F.initcap(b)))))))
+        .alias("sample"))
+    ordinary = words.unionByName(plain)
     return (values.unionByName(made).withColumn("random", F.lit(1))
-            .unionByName(words.withColumn("random", F.lit(0)))).distinct()
+            .unionByName(ordinary.unionByName(ordinary.select(F.upper("sample").alias("sample")))
+                         .withColumn("random", F.lit(0)))).distinct()
 
 
 def train(samples: DataFrame) -> list[float]:
@@ -123,7 +195,7 @@ def ratio(value: Column, model: list[float]) -> Column:
 def find_secrets(docs: DataFrame, model: list[float], text: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``spans`` (``s, k, e, v``: start, kind index, end, matched value)."""
     df = with_spans(docs, text)
-    scored = F.filter("runs", lambda r: ratio(r["v"], model) > THRESHOLD)
+    scored = F.flatten(F.transform("runs", lambda r: random_parts(r, model)))
     return df.withColumn("spans", F.array_sort(F.concat(
         "base", F.when(F.size("runs") > 0, scored).otherwise(F.col("runs"))))).drop("runs")
 

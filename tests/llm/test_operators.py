@@ -218,6 +218,27 @@ def test_markov_models_on_held_out_strings(spark):
     assert right.agg(F.avg("ok")).first()[0] > 0.97
 
 
+def test_short_keys_rests_of_keys_and_plain_paths(spark):
+    model = secret_scan.train(secret_scan.labelled_samples(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    r = random.Random(31)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    plain = ["config/production/service/account/credential", "example/account/settings/notification/preferences/download",
+             "https://www.example.com/account/settings/notification/preferences/download?page=2&sort=name",
+             "https://shop.example.org/catalog/products/2024/03/12/index.html", "MAX_CONNECTION_TIMEOUT_SECONDS",
+             "4111111111111111", "----------------------", None]
+    keys = ["".join(r.choice(chars) for _ in range(16 + k % 4)) for k in range(200)]
+    long_key = "Zk8Qw3XpT7" + "0123456789abcdef" * 2 + "GvR4Yt9Ls2"
+    paths = [f"https://example.com/account/settings/{k}/download" for k in keys[:20]]
+    rows = list(enumerate(plain + ["see " + k for k in keys] + ["see " + long_key] + paths))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_chars", F.length("text").cast("bigint"))
+    red = {x.doc_id: x.text for x in secret_scan.redact(df, model).collect()}
+    assert [red[i] for i in range(len(plain))] == plain
+    of = len(plain)
+    assert sum(red[of + i] == "see [SECRET]" for i in range(200)) >= 196
+    assert set(red[of + 200]) <= set("see [SECRET]")
+    assert sum(red[of + 201 + i] == "https://example.com/account/settings/[SECRET]/download" for i in range(20)) >= 18
+
+
 def test_language(spark, docs, empty):
     r = random.Random(2)
     words = {"en": "the and of with this that from".split(), "de": "der und nicht mit dass von eine".split(), "fr": "le et pas avec que des une".split()}
