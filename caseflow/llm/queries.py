@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import anchors, decontam, hnsw, jaccard, langid, mixing, secret_scan, suffixes, toxicity, warc
+from caseflow.llm import (anchors, decontam, hnsw, jaccard, langid, mixing, resample, secret_scan, suffixes, toxicity,
+                          warc)
 from caseflow.llm.common import held_out, table
 
 QUERIES: dict = {}
@@ -160,3 +161,47 @@ FROM v JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) c ON c.x = v.vec_id
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hnsw.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
     return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
+# CRC-32 by bytes: its table from the reflected polynomial, a word's checksum by a fold over its bytes
+OP13_SQL = rf"""
+WITH tab AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS MATERIALIZED (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x
+  FROM benchmark),
+dw AS MATERIALIZED (SELECT r, unnest(w) AS x FROM d),
+word AS MATERIALIZED (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM dw UNION SELECT x FROM b)),
+hashed AS MATERIALIZED (
+  SELECT x, xor(4294967295, list_reduce(list_concat([4294967295],
+         list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))),
+         lambda c, y: xor(c >> 8, crc[(xor(c, y) & 255) + 1]))) % 10000 AS k
+  FROM word, tab),
+s AS MATERIALIZED (SELECT k, count(*) AS n FROM dw JOIN hashed USING (x) GROUP BY k),
+t AS MATERIALIZED (SELECT k, count(*) AS n FROM b JOIN hashed USING (x) GROUP BY k),
+gain AS MATERIALIZED (
+  SELECT q.k, CAST(floor(1000 * ln((coalesce(t.n, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(n), 0)::DOUBLE FROM s) + 10000)
+         / ((coalesce(s.n, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(n), 0)::DOUBLE FROM t) + 10000)))) AS BIGINT) AS g
+  FROM (SELECT unnest(range(10000)) AS k) q LEFT JOIN s ON s.k = q.k LEFT JOIN t ON t.k = q.k),
+total AS (SELECT r, sum(g) AS g FROM dw JOIN hashed USING (x) JOIN gain USING (k) GROUP BY r),
+w AS (
+  SELECT doc_id, len(w) AS n, CAST(CASE WHEN len(w) = 0 THEN 0 ELSE floor(coalesce(g, 0)::DOUBLE / len(w)) END AS BIGINT) AS weight,
+         CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT)::DOUBLE AS h
+  FROM d LEFT JOIN total USING (r)),
+sc AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM w),
+rk AS (SELECT *, CASE WHEN n >= 20 THEN row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id, n, weight) END AS p FROM sc)
+SELECT doc_id, CAST(n AS BIGINT) AS n_features, weight, score,
+       CASE WHEN p <= (SELECT 10 * count(*) // 100 FROM sc WHERE n >= 20) THEN p END AS rank
+FROM rk
+"""
+
+
+@query("op13_resampling", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
