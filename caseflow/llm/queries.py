@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import (anchors, decontam, hnsw, jaccard, langid, mixing, resample, secret_scan, suffixes, toxicity,
-                          warc)
+from caseflow.llm import (anchors, decontam, divergence, hnsw, jaccard, langid, mixing, resample, secret_scan, suffixes,
+                          toxicity, warc)
 from caseflow.llm.common import held_out, table
 
 QUERIES: dict = {}
@@ -163,6 +163,44 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
 
 
+OP12_SQL = rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+tok AS MATERIALIZED (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM tok GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS MATERIALIZED (
+  SELECT lang, CAST(coalesce(count(term), 0) AS HUGEINT) AS v, CAST(coalesce(sum(n), 0) AS HUGEINT) AS total
+  FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+cell AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM tok JOIN kept USING (lang, term) GROUP BY ALL),
+g AS MATERIALIZED (
+  SELECT lang, source, CAST(coalesce(sum(n), 0) AS HUGEINT) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN cell USING (lang, source) GROUP BY lang, source),
+p AS MATERIALIZED (
+  SELECT g.lang, g.source, kept.term, coalesce(cell.n, 0) AS n,
+         1 + 1000000000::HUGEINT * (coalesce(cell.n, 0) + 2) // (g.total + 2 * v.v) AS p,
+         1 + 1000000000::HUGEINT * (kept.n + 2) // (v.total + 2 * v.v) AS q
+  FROM g JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN cell ON cell.lang = g.lang AND cell.source = g.source AND cell.term = kept.term),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pair.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query("op12_divergence", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 # CRC-32 by bytes: its table from the reflected polynomial, a word's checksum by a fold over its bytes
 OP13_SQL = rf"""
 WITH tab AS MATERIALIZED (
