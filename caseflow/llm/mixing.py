@@ -173,12 +173,16 @@ def mix(docs: DataFrame, budget: float = 1.5, weights: tuple = (3, 1, 2), cap: f
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: every document as often as it was taken, with ``copy`` counting from 1.
 
-    All columns of ``docs`` stay.  Only whole copies are taken.
+    All columns of ``docs`` stay; where one is called ``copy`` the count gets underscores added.
+    Only whole copies are taken.
     """
-    cols = [c for c in docs.columns if c != "copy"]
-    same = Window.partitionBy("_key").orderBy(F.lit(1))
-    plan = mix(docs, whole=True, **options).where("copies > 0").select(F.col("key").alias("_key"), F.col("copies").alias("_n"))
-    plan = plan.withColumn("_k", F.row_number().over(same))
-    rows = docs.select(*cols, F.xxhash64("doc_id", "text", "source").alias("_key"))
-    rows = rows.withColumn("_k", F.row_number().over(same))  # equal rows are paired one to one
-    return rows.join(plan, ["_key", "_k"]).select(*cols, F.explode(F.expr("sequence(1L, _n)")).alias("copy"))
+    counter = "copy"
+    while counter in docs.columns:
+        counter += "_"
+    same = Window.partitionBy("key").orderBy(F.lit(1))
+    plan = mix(docs, whole=True, **options).where("copies > 0").select("key", F.col("copies").alias("n"))
+    plan = plan.withColumn("k", F.row_number().over(same))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.xxhash64("doc_id", "text", "source").alias("key"))
+    rows = rows.withColumn("k", F.row_number().over(same))  # equal rows are paired one to one
+    return rows.join(plan, ["key", "k"]).select("row.*", F.explode(F.expr("sequence(1L, n)")).alias(counter))

@@ -62,26 +62,67 @@ TRAIN_DOCS = 20_000
 DIGESTS = 2_000
 SMOOTHING = 0.5
 SPAN = "struct<s: int, k: int, e: int, v: string>"
+BLOCK = 1024  # code points
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once (a lambda would compute a captured expression per element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _scan(items: Column, state: Column, step, kind: str) -> Column:
+    """What ``step`` emits along an array: ``step(state, x)`` gives the next state and an array of type ``kind``.
+
+    An aggregate copies what it carries at every step.  Items are taken in about
+    sqrt(n) chunks, each with an array of its own, so n items copy n^1.5 values;
+    ``kind`` should hold numbers only.
+    """
+    def inside(acc, x):
+        after, new = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.concat(acc["out"], new).alias("out"))
+
+    def along(acc, part):
+        begin = F.struct(acc["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+        return _let(F.aggregate(part, begin, inside), lambda r: F.struct(
+            r["state"].alias("state"), F.concat(acc["done"], F.array(r["out"])).alias("done")))
+
+    def chunks(all_items):
+        size = F.ceil(F.sqrt(F.size(all_items))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(all_items) / size).cast("int") - 1),
+                            lambda i: F.slice(all_items, i * size + 1, size))
+        begin = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("done"))
+        return F.flatten(F.aggregate(parts, begin, along)["done"])
+
+    return _let(items, lambda x: F.when(F.size(x) > 0, chunks(x)).otherwise(F.array().cast(f"array<{kind}>")))
+
+
+def _blocks(text: Column) -> Column:
+    """The text in pieces of ``BLOCK`` code points: a place in a long text is reached without walking to it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _cut(blocks: Column, begin: Column, end: Column) -> Column:
+    """Code points ``begin`` to ``end`` (exclusive) of a text in blocks."""
+    i, j = F.floor(begin / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+    first, at = F.get(blocks, i), begin - i * BLOCK + 1
+    return F.when(begin >= end, F.lit("")).when(i == j, F.substr(first, at, end - begin)).otherwise(F.concat(
+        F.substr(first, at), F.array_join(F.slice(blocks, i + 2, j - i - 1), ""), F.substr(F.get(blocks, j), F.lit(1), end - j * BLOCK)))
 
 
 def _spans(text: Column, pattern: str, kind: int, group: int = 0, at_least: int = 0) -> Column:
     """All matches of a pattern with their positions, from what lies between them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("out"))
-
-    def step(acc, x):
-        begin = acc["pos"] + F.length(x["p"])
-        end = begin + F.length(x["m"])
-        value = x["m"] if not group else F.regexp_extract(x["m"], pattern, group)
-        span = F.struct(begin.alias("s"), F.lit(kind).alias("k"), end.alias("e"), value.alias("v"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def positions(t):
+        found, pieces = t["found"], t["pieces"]
+        lengths = F.transform(F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m")), lambda x: F.struct(
+            F.length(x["p"]).alias("p"), F.length(x["m"]).alias("m")))
+        begins = _scan(lengths, F.lit(0), lambda pos, x: (pos + x["p"] + x["m"], F.array(pos + x["p"])), "int")
+        spans = F.transform(F.arrays_zip(begins.alias("s"), found.alias("m")), lambda x: F.struct(
+            x["s"].alias("s"), F.lit(kind).alias("k"), (x["s"] + F.length(x["m"])).alias("e"),
+            (F.regexp_extract(x["m"], pattern, group) if group else x["m"]).alias("v")))
+        return F.filter(spans, lambda x: F.length(x["v"]) >= at_least) if at_least else spans
 
-    zipped = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m"))
-    spans = F.aggregate(zipped, start, step)["out"]
-    if at_least:
-        spans = F.filter(spans, lambda x: F.length(x["v"]) >= at_least)
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("pieces"))
+    return F.when(text.rlike(pattern), _let(both, positions)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -93,49 +134,70 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("runs", _spans(F.when(F.size("base") > 0, _covered(t)).otherwise(t), RUN, 3))
 
 
+def _replaced(text: Column, spans: Column, fill) -> Column:
+    """The text with each part that spans cover replaced by ``fill(span, where the text goes on)``, a string."""
+    bounds = F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+    # where the text goes on before each span: the furthest end so far
+    ahead = _scan(bounds, F.lit(0), lambda pos, x: (F.greatest(pos, x["e"]), F.array(pos)), "int")
+
+    def pieces(blocks):
+        parts = F.transform(F.arrays_zip(ahead.alias("pos"), spans.alias("x")), lambda y: F.concat(
+            _cut(blocks, y["pos"], y["x"]["s"]), fill(y["x"], y["pos"])))
+        last = F.array_max(F.transform(spans, lambda x: x["e"]))
+        return F.concat(F.array_join(parts, ""), _cut(blocks, last, F.length(text)))
+    return _let(_blocks(text), pieces)
+
+
 def _covered(text: Column) -> Column:
     """The text with pattern spans filled by ``KEY`` or ``OTHER``, all else at its place."""
-    def step(acc, x):
-        begin = F.greatest(acc["pos"], x["s"])
-        fill = F.repeat(F.when(x["k"] == 0, F.lit(OTHER)).otherwise(F.lit(KEY)), F.greatest(x["e"] - begin, F.lit(0)))
-        return F.struct(F.greatest(begin, x["e"]).alias("pos"),
-                        F.concat(acc["out"], F.substr(text, acc["pos"] + 1, begin - acc["pos"]), fill).alias("out"))
-
-    done = F.aggregate("base", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step)
-    return F.concat(done["out"], F.substr(text, done["pos"] + 1))
+    return _replaced(text, F.col("base"), lambda x, pos: F.repeat(
+        F.when(x["k"] == 0, F.lit(OTHER)).otherwise(F.lit(KEY)), F.greatest(x["e"] - F.greatest(pos, x["s"]), F.lit(0))))
 
 
 def random_parts(run: Column, model: list[float]) -> Column:
     """Spans of the parts of a run that look random."""
-    none = F.array().cast(f"array<{SPAN}>")
     # the open group: where it begins and ends, characters, ratio, whether it touches a key
-    start = F.struct(run["s"].alias("pos"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit(0).alias("n"),
-                     F.lit(0.0).alias("x"), F.lit(False).alias("near"), none.alias("out"))
+    state = F.struct(run["s"].alias("pos"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit(0).alias("n"),
+                     F.lit(0.0).alias("x"), F.lit(False).alias("near"))
 
-    def closed(g, touches):
-        value = F.substr(run["v"], g["s"] - run["s"] + 1, g["e"] - g["s"])
-        no_number = value.rlike("[A-Za-z]") | (value.rlike("[0-9]") & (g["n"] >= MIN_NUMBER))
-        random = (g["n"] >= MIN_RUN) & (g["x"] > THRESHOLD) & (g["x"] > RATE * g["n"]) & no_number
-        span = F.struct(g["s"].alias("s"), F.lit(3).alias("k"), g["e"].alias("e"), value.alias("v"))
-        return F.when((g["n"] > 0) & (random | g["near"] | touches), F.concat(g["out"], F.array(span))).otherwise(g["out"])
+    group = "struct<s: int, e: int, n: int, x: double, near: boolean>"
 
     def step(g, y):
-        end = g["pos"] + F.length(y["p"])
-        key, mark = F.startswith(y["p"], F.lit(KEY)), y["p"].rlike("^[/=]")
-        grows = ~key & ~mark & (y["x"] > 0)
-        fresh = g["n"] == 0
+        end = g["pos"] + y["n"]
+        grows = (y["kind"] == 0) & (y["x"] > 0)
+        key, mark, fresh = y["kind"] == 1, y["kind"] == 2, g["n"] == 0
         ends = ~mark & ~grows
+        closed = F.struct(
+            g["s"].alias("s"), g["e"].alias("e"), g["n"].alias("n"), g["x"].alias("x"),
+            (g["near"] | (key & (g["e"] == g["pos"]))).alias("near"))
         return F.struct(
             end.alias("pos"), F.when(grows & fresh, g["pos"]).otherwise(g["s"]).alias("s"),
             F.when(grows, end).otherwise(g["e"]).alias("e"),
-            F.when(grows, g["n"] + F.length(y["p"])).when(ends, F.lit(0)).otherwise(g["n"]).alias("n"),
+            F.when(grows, g["n"] + y["n"]).when(ends, F.lit(0)).otherwise(g["n"]).alias("n"),
             F.when(grows, g["x"] + y["x"]).when(ends, F.lit(0.0)).otherwise(g["x"]).alias("x"),
-            F.when(key, F.lit(True)).when(ends | (mark & fresh), F.lit(False)).otherwise(g["near"]).alias("near"),
-            F.when(ends, closed(g, key & (g["e"] == g["pos"]))).otherwise(g["out"]).alias("out"))
+            F.when(key, F.lit(True)).when(ends | (mark & fresh), F.lit(False)).otherwise(g["near"]).alias("near")), \
+            F.when(ends & ~fresh, F.array(closed)).otherwise(F.array().cast(f"array<{group}>"))
 
+    # kinds of pieces: 0 characters to score, 1 a key's place, 2 marks between
     pieces = F.transform(F.regexp_extract_all(run["v"], F.lit(PIECE), F.lit(0)), lambda p: F.struct(
-        p.alias("p"), F.when(p.rlike(f"^[/={KEY}]"), F.lit(0.0)).otherwise(ratio(p, model)).alias("x")))
-    return F.aggregate(pieces, start, step, lambda g: closed(g, F.lit(False)))
+        F.length(p).alias("n"), F.when(F.startswith(p, F.lit(KEY)), 1).when(p.rlike("^[/=]"), 2).otherwise(0).alias("kind"),
+        F.when(p.rlike(f"^[/={KEY}]"), F.lit(0.0)).otherwise(ratio(p, model)).alias("x")))
+    # an ordinary piece of no length closes the last group
+    last = F.array(F.struct(F.lit(0).alias("n"), F.lit(0).alias("kind"), F.lit(0.0).alias("x")))
+    groups = _scan(F.concat(pieces, last), state, step, group)
+
+    def spans(blocks):
+        with_value = F.transform(groups, lambda g: F.struct(g.alias("g"), _cut(
+            blocks, g["s"] - run["s"], g["e"] - run["s"]).alias("v")))
+
+        def random(y):
+            g, v = y["g"], y["v"]
+            no_number = v.rlike("[A-Za-z]") | (v.rlike("[0-9]") & (g["n"] >= MIN_NUMBER))
+            return g["near"] | ((g["n"] >= MIN_RUN) & (g["x"] > THRESHOLD) & (g["x"] > RATE * g["n"]) & no_number)
+        return F.transform(F.filter(with_value, random), lambda y: F.struct(
+            y["g"]["s"].alias("s"), F.lit(3).alias("k"), y["g"]["e"].alias("e"), y["v"].alias("v")))
+
+    return _let(_blocks(run["v"]), spans)
 
 
 def labelled_samples(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -145,9 +207,11 @@ def labelled_samples(docs: DataFrame, text: str = "text", train_docs: int = TRAI
     some = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
     values = with_spans(some).select(F.explode("base").alias("b")).where(
         "length(b.v) >= 16 and b.v rlike '[0-9]'").select(F.col("b.v").alias("sample"))
-    words = some.select(F.explode(F.regexp_extract_all(
-        F.coalesce("text", F.lit("")), F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z][a-z]*(?:[_.-]?[A-Za-z][a-z]+)+(?![A-Za-z0-9+/_=-])"), F.lit(0)))
-        .alias("sample")).where("length(sample) >= 8")
+    # whole identifiers of letters, in parts of two or more, capitals only at the head of a part
+    words = some.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z0-9+/_=.-]{8,}"), F.lit(0)))
+                        .alias("sample")).select(F.rtrim("sample", F.lit(".")).alias("sample")).where(
+        F.col("sample").rlike(r"^[A-Za-z][A-Za-z_.-]{6,}[a-z]$") & ~F.col("sample").rlike(
+            r"[_.-][_.-]|[_.-][A-Za-z](?:[_.-]|$)|(?<=[A-Za-z_.-])[A-Z](?![a-z])"))
     ids = docs.sparkSession.range(DIGESTS).select(F.col("id").cast("string").alias("id"))
     digest = F.sha2("id", 256)
     made = ids.select(F.explode(F.array(
@@ -165,11 +229,10 @@ def labelled_samples(docs: DataFrame, text: str = "text", train_docs: int = TRAI
 
 def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratio of every transition, ``previous * width + current``."""
-    steps = samples.where("length(sample) > 0").select(
-        "random", "sample", F.explode(F.expr("sequence(1, length(sample))")).alias("i")).select(
-        "random",
-        F.expr(f"if(i = 1, 0, instr('{ALPHABET}', substring(sample, i - 1, 1)))").alias("p"),
-        F.expr(f"instr('{ALPHABET}', substring(sample, i, 1))").alias("c"))
+    codes = F.transform(F.split("sample", ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    steps = samples.where("length(sample) > 0").select("random", codes.alias("c")).select("random", F.explode(F.arrays_zip(
+        F.concat(F.array(F.lit(0)), F.slice("c", 1, F.size("c") - 1)).alias("p"), F.col("c").alias("c"))).alias("t")) \
+        .select("random", "t.p", "t.c")
     width = len(ALPHABET) + 1
     seen = {(r["random"], r["p"], r["c"]): r["n"] for r in
             steps.groupBy("random", "p", "c").agg(F.count("*").alias("n")).collect()}  # at most 2 * width^2 rows
@@ -210,21 +273,15 @@ def span_text(spans: Column) -> Column:
 def redact(docs: DataFrame, model: list[float], mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mask``; ``n_chars`` follows.
 
-    Overlapping spans are replaced by one mask.  Rows and columns stay.
+    Overlapping spans are replaced by one mask.  Rows and columns stay, whatever their names.
     """
-    cols = docs.columns
-    df = find_secrets(docs.withColumn("_text", F.col("text")), model, "_text")
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        ahead = F.concat(acc["out"], F.substr(F.col("_text"), acc["pos"] + 1, x["s"] - acc["pos"]), F.lit(mask))
-        return F.struct(F.greatest(acc["pos"], x["e"]).alias("pos"),
-                        F.when(x["s"] >= acc["pos"], ahead).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate("spans", start, step)
-    clean = F.concat(done["out"], F.substr(F.col("_text"), done["pos"] + 1))
-    df = df.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("_text")))
-    if "n_chars" in cols:
-        kind = docs.schema["n_chars"].dataType
-        df = df.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return df.select(*cols)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("whole"))
+    df = find_secrets(row, model, "whole")
+    hit = F.size("spans") > 0
+    clean = _replaced(F.col("whole"), F.col("spans"), lambda x, pos: F.when(x["s"] >= pos, F.lit(mask)).otherwise(""))
+    df = df.withColumn("whole", F.when(hit, clean).otherwise(F.col("whole")))
+    new = {"text": F.col("whole")}
+    if "n_chars" in docs.columns:
+        length = F.length("whole").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(hit, length).otherwise(F.col("row.n_chars"))
+    return df.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
