@@ -11,12 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.session import scratch_path
 
-CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Settings while a table is written: shuffle files go with it, and batches for Python stay small (texts are long).
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+                 "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 class Scratch:
@@ -34,16 +37,15 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        spark = self.spark
-        before = spark.conf.get(CLEANUP_CONF, None)
-        spark.conf.set(CLEANUP_CONF, "true")
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in WHILE_WRITING}
         try:
+            for k, v in WHILE_WRITING.items():
+                conf.set(k, v)
             df.write.mode("overwrite").parquet(self.path(name))
         finally:
-            if before is None:
-                spark.conf.unset(CLEANUP_CONF)
-            else:
-                spark.conf.set(CLEANUP_CONF, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         return self.read(name, df.schema)
 
     def read(self, name: str, schema) -> DataFrame:
@@ -126,15 +128,14 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHU
         values = batch.column(outer)
         if inner:
             values = values.field(inner)
-        texts = values.cast(pa.binary()).to_pylist()
-        start, total = 0, 0
-        for i, t in enumerate(texts):
-            total += len(t) if t is not None else 0
-            if total >= limit:
-                yield batch.slice(start, i + 1 - start), [x or b"" for x in texts[start:i + 1]]
-                start, total = i + 1, 0
-        if start < len(texts):
-            yield batch.slice(start), [x or b"" for x in texts[start:]]
+        values = values.cast(pa.binary())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            done = ends[start - 1] if start else 0
+            stop = min(batch.num_rows, int(np.searchsorted(ends, done + limit)) + 1)
+            yield batch.slice(start, stop - start), [x or b"" for x in values.slice(start, stop - start).to_pylist()]
+            start = stop
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -187,13 +188,13 @@ PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() els
 
 
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of several texts, with a 64-bit hash each.
+    """Words ``[^\\x20\\x09-\\x0D]+`` of several texts, with a 64-bit hash each (unless ``hashed=False``).
 
     ``start``/``end`` are byte offsets in ``buf``; words of text k are
     ``first[k]:first[k + 1]``.
     """
 
-    def __init__(self, texts: list[bytes], table: bytes | None = None):
+    def __init__(self, texts: list[bytes], table: bytes | None = None, hashed: bool = True):
         joined = b" ".join(texts) + b" "
         if table:
             joined = joined.translate(table)
@@ -207,10 +208,11 @@ class Words:
         lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         self.text_start = np.concatenate([[0], np.cumsum(lengths + 1)])
         self.first = np.searchsorted(self.start, self.text_start)
-        p = BASE_A.prefix(buf.astype(np.uint64) + np.uint64(1))
-        h = BASE_A.span(p, self.start, self.end)
-        self.hash = mix64(h ^ ((self.end - self.start).astype(np.uint64) << np.uint64(40)))
         self.count = np.diff(self.first)
+        if hashed:
+            p = BASE_A.prefix(buf.astype(np.uint64) + np.uint64(1))
+            h = BASE_A.span(p, self.start, self.end)
+            self.hash = mix64(h ^ ((self.end - self.start).astype(np.uint64) << np.uint64(40)))
 
     def of(self) -> np.ndarray:
         """The text's index of every word."""

@@ -45,7 +45,7 @@ LEAST_DOCS = 10
 TOP = 10
 ROWS, COLS = 64, 4096   # of a tile; powers of two
 LEAF = 4                # side of a leaf quadrant
-BATCH_BYTES = 4 << 20   # text whose counts one task combines at a time
+BATCH_BYTES = 2 << 20   # text whose counts one task combines at a time
 
 # lower-cases A-Z and turns every ASCII character that is no letter into a space
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -68,7 +68,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows, held
 
     for rows, texts in pieces():
-        w = C.Words(texts, LETTERS)
+        w = C.Words(texts, LETTERS, hashed=False)
         coded = word_array(w).dictionary_encode()
         terms, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         names = {g: i for i, g in enumerate(dict.fromkeys(rows))}

@@ -43,6 +43,7 @@ from caseflow.llm import common as C
 
 EXTRA_KEYS = 0.5        # most keys a segment that neighbourhoods may add on average
 SKETCH_BITS = 1024
+PIECE_BYTES = 256 << 10  # text that a task holds sets of at a time
 
 
 def band_limits(top: int, percent: int) -> list[int]:
@@ -126,31 +127,46 @@ def signatures(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int)
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _profile(width: int, percent: int):
+def _class_name(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every set."""
+    lo = np.zeros(len(sizes), np.uint64)
+    np.add.at(lo, doc, C.mix64(h))
+    return C.mix64(lo + sizes.astype(np.uint64))
+
+
+def _profile(width: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in C.text_chunks(batches, "text"):
+        for rows, texts in C.text_chunks(batches, "text", PIECE_BYTES):
             doc, h = shingles(texts, width)
             sizes = np.bincount(doc, minlength=len(texts))
-            lo = np.zeros(len(texts), np.uint64)
-            np.add.at(lo, doc, C.mix64(h))
             bits = np.zeros(len(texts) * SKETCH_BITS, np.uint8)
             np.add.at(bits, doc * SKETCH_BITS + (C.mix64(h + np.uint64(7)) % np.uint64(SKETCH_BITS)).astype(np.int64), 1)
             sketch = np.packbits(bits & 1).view(np.int64)
             ends = pa.array(np.arange(len(texts) + 1) * (SKETCH_BITS // 64), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("rid"), rows.column("doc_id"), pa.array(sizes, pa.int64()), C.signed(_class_name(doc, h, sizes)),
+                 pa.ListArray.from_arrays(ends, pa.array(sketch))],
+                names=["rid", "doc_id", "n", "lo", "sketch"])
+    return fn
+
+
+def _signed_sets(width: int, percent: int):
+    """Each set's name and its signature keys."""
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in C.text_chunks(batches, "text", PIECE_BYTES):
+            doc, h = shingles(texts, width)
+            sizes = np.bincount(doc, minlength=len(texts))
             owner, key = signatures(doc, h, sizes, percent)
             order = np.argsort(owner, kind="stable")
             offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))])
             keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), C.signed(key[order]))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("rid"), rows.column("doc_id"), pa.array(sizes, pa.int64()),
-                 C.signed(C.mix64(lo + sizes.astype(np.uint64))), pa.ListArray.from_arrays(ends, pa.array(sketch)), keys],
-                names=["rid", "doc_id", "n", "lo", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([C.signed(_class_name(doc, h, sizes)), keys], names=["lo", "keys"])
     return fn
 
 
 def _sets(width: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in C.text_chunks(batches, "text"):
+        for rows, texts in C.text_chunks(batches, "text", PIECE_BYTES):
             doc, h = shingles(texts, width)
             offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))])
             yield pa.RecordBatch.from_arrays(
@@ -224,12 +240,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     """
     scratch = C.Scratch(docs.sparkSession, "jaccard")
     src = docs.select(C.row_key("doc_id", "text").alias("rid"), "doc_id", "text")
-    profile = scratch.write(
-        src.mapInArrow(_profile(width, percent),
-                       "rid bigint, doc_id bigint, n bigint, lo bigint, sketch array<bigint>, keys array<bigint>"), "profile")
-    slim = scratch.write(profile.select("rid", "doc_id", "n", "lo"), "slim")
+    profile = scratch.write(src.mapInArrow(
+        _profile(width), "rid bigint, doc_id bigint, n bigint, lo bigint, sketch array<bigint>"), "profile")
+    slim = profile.select("rid", "doc_id", "n", "lo")
 
-    rows = profile.select("lo", F.explode("keys").alias("key"))
+    # keys are as large as the texts: computed again for each of their two uses rather than kept
+    rows = src.select("text").mapInArrow(_signed_sets(width, percent), "lo bigint, keys array<bigint>").select(
+        "lo", F.explode("keys").alias("key"))
     shared = scratch.write(rows.groupBy("key").agg(F.min("lo").alias("low"), F.max("lo").alias("high"))
                            .where("low <> high").select("key"), "shared")
     star = scratch.write(rows.join(shared, "key").select("key", "lo"), "star")
@@ -246,7 +263,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
             "b", F.struct("n", "sketch").alias("y")), "b"))
     tested = scratch.write(tried.where(near).select("a", "b"), "tested")
     sets = scratch.write(_fetch_sets(src, slim, degree.select("lo"), width), "sets")
-    scratch.drop("profile", "shared", "hub")
+    scratch.drop("shared", "hub")
     links = _links(tested, sets, percent, scratch, "links")
     comp = scratch.write(C.components(links, scratch, "cc1"), "comp1")
 
@@ -269,7 +286,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     named = scratch.write(slim.join(comp2.withColumnRenamed("node", "lo"), "lo", "left")
                           .select("rid", "doc_id", "n", F.coalesce("component", "lo").alias("c")), "named")
     names = scratch.write(named.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("name")), "names")
-    scratch.drop("star", "degree", "known", "tested", "sets", "label", "open", "rest", "more")
+    scratch.drop("profile", "star", "degree", "known", "tested", "sets", "label", "open", "rest", "more")
     return named.join(names, "c", "left").select(
         "rid", "doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component"),
         F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -88,7 +88,7 @@ def _count(ngrams: int, buckets: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(buckets, np.int64)
         for _, texts in C.text_chunks(batches, "text"):
-            seen += np.bincount(run_buckets(C.Words(texts, TERMS), ngrams, buckets)[1], minlength=buckets)
+            seen += np.bincount(run_buckets(C.Words(texts, TERMS, hashed=False), ngrams, buckets)[1], minlength=buckets)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["bucket", "n"])
     return fn
@@ -115,7 +115,7 @@ def _weigh(gains, ngrams: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = gains.value
         for rows, texts in C.text_chunks(batches, "text"):
-            w = C.Words(texts, TERMS)
+            w = C.Words(texts, TERMS, hashed=False)
             of, bucket = run_buckets(w, ngrams, len(table))
             n = np.bincount(of, minlength=len(texts))
             total = np.zeros(len(texts), np.int64)
