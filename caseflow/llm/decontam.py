@@ -1,17 +1,21 @@
 """Benchmark decontamination.
 
-Seeds are word trigrams of the benchmark items: in every stretch of ``STRETCH``
-consecutive trigrams of an item the one found in the fewest documents, counted
-over all documents.  So every part of an item has a seed, however common its
-words are.  A document's seed hits of one item are gathered into passages, and
-each passage with two different seeds (or with all the item has) is aligned with
-the item by Smith-Waterman over words (match 2, mismatch and gap -1).  The
+Seeds are word n-grams of the benchmark items, by their rarity over all
+documents.  Of trigrams, every stretch of ``STRETCH`` consecutive ones of an item
+keeps the one found in the fewest documents, so every part of an item has a seed,
+however common its words are.  Of bigrams, all count that are at most ``USUAL``
+likely to turn up in a passage by chance.  A document's hits of one item are
+gathered into passages.  A passage with two different trigrams (or with all the
+item has), or with bigrams that are together at most ``CHANCE`` likely, is aligned
+with the item by Smith-Waterman over words (match 2, mismatch and gap -1).  So one
+rare pair of words left of a paraphrase is enough, and the number of alignments is
+bounded by the rarity of what led to them.  The
 score is the best local alignment over that of a full copy; paraphrased and
 edited copies keep a high one.  A passage counts from the threshold on, or from
 the alignment of ``ENOUGH`` exact words on, however long the item is.
 
 Items come to the documents, in blocks of at most ``BLOCK_GRAMS`` trigrams; each
-block is one pass over the documents, and texts are never shuffled.  Words are
+block is two passes over the documents, and texts are never shuffled.  Words are
 lower-cased runs without ASCII punctuation; in scripts that put no spaces between
 words (Han, kana, Thai, Lao, Khmer, Burmese) every character is one.  ``ENOUGH``
 and ``MIN_WORDS`` take two Han or kana characters for a word, four of the others.
@@ -40,6 +44,7 @@ THRESHOLD = 0.5
 ENOUGH = 13             # exact words that are a copy by themselves
 MATCH, MISMATCH, GAP = 2, -1, -1
 FILTER_BITS = 22
+USUAL, CHANCE = 1e-2, 1e-4  # of a bigram, and of all bigrams of a passage
 # UTF-8 characters of scripts without spaces, and their punctuation
 HAN = rb"\xe3[\x81-\x83\x90-\xbf][\x80-\xbf]|[\xe4-\xe9][\x80-\xbf]{2}|\xef[\xa4-\xab][\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2}"
 LETTERS = rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]"
@@ -97,23 +102,37 @@ class _Block:
             whole = np.array([C.windows(w.hash[w.first[i]:w.first[i + 1]], n)[0] for i in some], np.uint64)
             values = np.unique(whole)
             self.short[n] = values, [[ids[i] for i in some[whole == v]] for v in values]
-        grams = [C.windows(x, GRAM) for x in self.words]
-        self.gram = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        self.pos = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
-
-    def rarest(self, frequency: dict[int, int]) -> "_Block":
-        """Keeps the seeds only."""
-        df = np.array([frequency.get(int(g), 0) for g in self.gram.view(np.int64)], np.int64)
-        keep = np.zeros(len(self.gram), bool)
+        self.grams = {n: self._places(n) for n in (2, GRAM)}
+
+    def _places(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The items' n-grams: hash, item and place."""
+        grams = [C.windows(x, n) for x in self.words]
+        if not grams:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(g) for g in grams]),
+                np.concatenate([np.arange(len(g)) for g in grams]))
+
+    def rarest(self, frequency: dict[int, int], total_words: int) -> "_Block":
+        """Keeps the seeds only, ordered by hash: trigrams weigh nothing, bigrams by how unlikely they are."""
+        gram, item, pos = self.grams[GRAM]
+        df = np.array([frequency.get(int(g), 0) for g in gram.view(np.int64)], np.int64)
+        keep = np.zeros(len(gram), bool)
         for k in range(len(self.words)):
-            at = np.flatnonzero(self.item == k) if len(self.words) < 2 else np.arange(
-                *np.searchsorted(self.item, [k, k + 1]))
+            at = np.arange(*np.searchsorted(item, [k, k + 1]))
             for s in range(0, max(1, len(at) - STRETCH + 1)):
                 part = at[s:s + STRETCH]
-                keep[part[np.lexsort((self.gram[part], df[part]))[0]]] = True
-        self.gram, self.item, self.pos = self.gram[keep], self.item[keep], self.pos[keep]
-        self.seeds = np.bincount(self.item, minlength=len(self.words))
+                keep[part[np.lexsort((gram[part], df[part]))[0]]] = True
+        self.seeds = np.bincount(item[keep], minlength=len(self.words))
+        pair, pair_item, pair_pos = self.grams[2]
+        seen = np.array([frequency.get(int(g), 0) for g in pair.view(np.int64)], float)
+        span = 2.0 * np.array([len(x) for x in self.words])[pair_item] if len(pair) else np.zeros(0)
+        chance = np.maximum(seen, 0.5) * span / max(1, total_words)
+        rare = chance <= USUAL
+        self.grams = {}
+        for n, parts in ((GRAM, (gram[keep], item[keep], pos[keep], np.zeros(int(keep.sum())))),
+                         (2, (pair[rare], pair_item[rare], pair_pos[rare], -np.log(chance[rare])))):
+            order = np.argsort(parts[0], kind="stable")
+            self.grams[n] = tuple(x[order] for x in parts)
         return self
 
 
@@ -141,26 +160,52 @@ class _Finder:
 
 def _frequency(shared):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = _Finder(shared.value)
-        total = np.zeros(len(finder.values), np.int64)
+        finders = {n: _Finder(values) for n, values in shared.value.items()}
+        total, words = {n: np.zeros(len(f.values), np.int64) for n, f in finders.items()}, 0
         for _, texts in C.text_chunks(batches, "text"):
             w = words_of(texts)
-            at, spot = finder.hits(C.windows(w.hash, GRAM))
             of = w.of()
-            inside = of[at] == of[at + GRAM - 1]
-            pairs = np.unique(of[at][inside] * len(total) + spot[inside])
-            total += np.bincount(pairs % len(total), minlength=len(total)) if len(total) else 0
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([C.signed(finder.values[seen]), pa.array(total[seen])], names=["gram", "n"])
+            words += len(of)
+            for n, finder in finders.items():
+                at, spot = finder.hits(C.windows(w.hash, n))
+                inside = of[at] == of[at + n - 1]
+                pairs = np.unique(of[at][inside] * len(finder.values) + spot[inside])
+                if len(pairs):
+                    total[n] += np.bincount(pairs % len(finder.values), minlength=len(finder.values))
+        for n, finder in finders.items():
+            seen = np.flatnonzero(total[n])
+            yield pa.RecordBatch.from_arrays([C.signed(finder.values[seen]), pa.array(total[n][seen])], names=["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([words], pa.int64())], names=["gram", "n"])
     return fn
 
 
-def _passages(hit_pos: np.ndarray, item_pos: np.ndarray, length: int, slack: int):
-    """Hits of one document and item, in order, cut where no copy could span the gap."""
+def _passages(hit_pos: np.ndarray, item_pos: np.ndarray, weight: np.ndarray, length: int, slack: int):
+    """Hits of one document and item, in order, cut where no copy could span the gap.
+
+    Ends of each passage, its different trigrams and the weight of its different bigrams.
+    """
     cut = np.flatnonzero(np.diff(hit_pos) > length + slack) + 1
     for part in np.split(np.arange(len(hit_pos)), cut):
-        h, i = hit_pos[part], item_pos[part]
-        yield int((h - i).min()) - slack, int((h - i).max()) + length + slack, len(np.unique(i))
+        h, i, x = hit_pos[part], item_pos[part], weight[part]
+        _, once = np.unique(np.where(x > 0, i, -1), return_index=True)
+        yield (int((h - i).min()) - slack, int((h - i).max()) + length + slack, len(np.unique(i[x == 0])), float(x[once].sum()))
+
+
+def _hits(block: _Block, finders: dict, w: C.Words):
+    """A line per hit and item that has the seed: text, place in it, item, place in that, weight; in order."""
+    of, parts = w.of(), []
+    for n, (gram, item, pos, weight) in block.grams.items():
+        finder, first = finders[n]
+        at, spot = finder.hits(C.windows(w.hash, n))
+        ok = of[at] == of[at + n - 1] if len(at) else np.zeros(0, bool)
+        at, spot = at[ok], spot[ok]
+        many = np.diff(np.append(first, len(gram)))[spot]
+        line = np.repeat(np.arange(len(at)), many)
+        place = first[spot][line] + np.arange(len(line)) - np.repeat(np.cumsum(many) - many, many)
+        parts.append((of[at][line], at[line] - w.first[:-1][of[at][line]], item[place], pos[place], weight[place]))
+    doc, where, it, ip, weight = (np.concatenate(x) for x in zip(*parts))
+    by = np.lexsort((ip, where, it, doc))
+    return doc[by], where[by], it[by], ip[by], weight[by]
 
 
 def _whole(block: _Block, finders: dict, w: C.Words):
@@ -180,35 +225,24 @@ def _whole(block: _Block, finders: dict, w: C.Words):
 def _align(shared, threshold: float):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
-        order = np.argsort(block.gram, kind="stable")
-        gram, item, pos = block.gram[order], block.item[order], block.pos[order]
-        finder = _Finder(gram)
-        finders = {n: _Finder(values) for n, (values, _) in block.short.items()}
-        first = np.searchsorted(gram, finder.values)
-        many = np.diff(np.append(first, len(gram)))
+        finders = {n: (f := _Finder(x[0]), np.searchsorted(x[0], f.values)) for n, x in block.grams.items()}
+        whole = {n: _Finder(values) for n, (values, _) in block.short.items()}
+        least = -np.log(CHANCE)
         for rows, texts in C.text_chunks(batches, "text"):
             w = words_of(texts)
-            at, spot = finder.hits(C.windows(w.hash, GRAM))
-            of = w.of()
-            ok = of[at] == of[at + GRAM - 1] if len(at) else np.zeros(0, bool)
-            at, spot = at[ok], spot[ok]
-            # one line per hit and item that has the seed
-            n = many[spot]
-            line = np.repeat(np.arange(len(at)), n)
-            place = first[spot][line] + np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
-            doc, where = of[at][line], at[line] - w.first[:-1][of[at][line]]
-            it, ip = item[place], pos[place]
-            by = np.lexsort((ip, where, it, doc))
-            doc, where, it, ip = doc[by], where[by], it[by], ip[by]
+            doc, where, it, ip, weight = _hits(block, finders, w)
             heads = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (it[1:] != it[:-1])])[:len(doc)])
-            out = list(_whole(block, finders, w))
-            for a, b in zip(heads, np.append(heads[1:], len(doc))):
-                if len(np.unique(ip[a:b])) < min(2, block.seeds[it[a]]):
-                    continue
+            tails = np.append(heads[1:], len(doc))
+            out = list(_whole(block, whole, w))
+            if len(heads):  # repeated hits count here, so nothing is left out too early
+                enough = (np.add.reduceat(weight, heads) >= least) | (
+                    np.add.reduceat((weight == 0).astype(np.int64), heads) >= np.minimum(2, np.maximum(1, block.seeds[it[heads]])))
+                heads, tails = heads[enough], tails[enough]
+            for a, b in zip(heads, tails):
                 words, d = block.words[it[a]], doc[a]
                 best = None
-                for lo, hi, seeds in _passages(where[a:b], ip[a:b], len(words), len(words) // 2):
-                    if seeds < min(2, block.seeds[it[a]]):
+                for lo, hi, seeds, rare in _passages(where[a:b], ip[a:b], weight[a:b], len(words), len(words) // 2):
+                    if seeds < max(1, min(2, block.seeds[it[a]])) and rare < least:
                         continue
                     lo, hi = max(lo, 0), min(hi, int(w.count[d]))
                     passage = w.hash[w.first[d] + lo:w.first[d] + hi]
@@ -246,10 +280,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         rows = part.collect()  # one block: BLOCK_GRAMS trigrams at most on average
         block = _Block([r["item_id"] for r in rows], [r["text"].encode() for r in rows])
-        grams = spark.sparkContext.broadcast(np.unique(block.gram))
+        grams = spark.sparkContext.broadcast({n: np.unique(x[0]) for n, x in block.grams.items()})
         counted = src.select("text").mapInArrow(_frequency(grams), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-        frequency = {r["gram"]: r["n"] for r in counted.collect()}  # rows: the block's trigrams
-        seeds = spark.sparkContext.broadcast(block.rarest(frequency))
+        frequency = {r["gram"]: r["n"] for r in counted.collect()}  # rows: the block's n-grams, and one for all words
+        seeds = spark.sparkContext.broadcast(block.rarest(frequency, frequency.pop(None, 0)))
         one = scratch.write(src.mapInArrow(_align(seeds, threshold), kind), f"block{k}")
         found = one if found is None else found.unionByName(one)
     return found
@@ -257,6 +291,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that hold a copy of a benchmark item."""
-    bad = contaminated(docs, benchmark, threshold).select(F.col("rid").alias("_rid")).distinct()
-    keyed = docs.withColumn("_rid", C.row_key("doc_id", "text"))
-    return keyed.join(bad, "_rid", "left_anti").drop("_rid").select(*docs.columns)
+    bad = contaminated(docs, benchmark, threshold).select("rid").distinct()
+    keyed = docs.select(C.row_key("doc_id", "text").alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return keyed.join(bad, "rid", "left_anti").select("row.*")

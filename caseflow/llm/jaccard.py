@@ -300,9 +300,9 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     scratch = C.Scratch(docs.sparkSession, "one")
     found = scratch.write(jaccard_components(docs, width, percent), "found")
     chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy(
-        "component").agg(F.min("rid").alias("_rid")).select("_rid", F.lit(True).alias("_one"))
-    stay = chosen.unionByName(found.where("n_shingles = 0").select(F.col("rid").alias("_rid"), F.lit(False).alias("_one")).distinct())
-    rows = docs.withColumn("_rid", C.row_key("doc_id", "text")).join(scratch.write(stay, "stay"), "_rid")
+        "component").agg(F.min("rid").alias("rid")).select("rid", F.lit(True).alias("one"))
+    stay = chosen.unionByName(found.where("n_shingles = 0").select("rid", F.lit(False).alias("one")).distinct())
+    rows = docs.select(C.row_key("doc_id", "text").alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     # equal rows share a rid; one of them stays
-    rank = F.row_number().over(Window.partitionBy("_rid").orderBy(F.lit(1)))
-    return rows.withColumn("_k", rank).where("_k = 1 or not _one").select(*docs.columns)
+    rank = F.row_number().over(Window.partitionBy("rid").orderBy(F.lit(1)))
+    return rows.join(scratch.write(stay, "stay"), "rid").withColumn("k", rank).where("k = 1 or not one").select("row.*")
