@@ -84,6 +84,12 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int
     return best
 
 
+def _bound(item: np.ndarray, passage: np.ndarray) -> int:
+    """No local alignment scores more: an item's word not in the passage costs one, wherever it stands."""
+    total = np.concatenate([[0], np.cumsum(np.where(np.isin(item, passage), MATCH, max(MISMATCH, GAP)))])
+    return int((total - np.minimum.accumulate(total)).max())
+
+
 class _Block:
     """Items of one block with the places of their trigrams."""
 
@@ -179,16 +185,30 @@ def _frequency(shared):
     return fn
 
 
-def _passages(hit_pos: np.ndarray, item_pos: np.ndarray, weight: np.ndarray, length: int, slack: int):
-    """Hits of one document and item, in order, cut where no copy could span the gap.
+def _passages(block: _Block, hits: tuple):
+    """Passages worth an alignment: text, item, first and last word around which a copy may lie.
 
-    Ends of each passage, its different trigrams and the weight of its different bigrams.
+    Hits of a text and item belong together unless no copy could span the gap.
     """
-    cut = np.flatnonzero(np.diff(hit_pos) > length + slack) + 1
-    for part in np.split(np.arange(len(hit_pos)), cut):
-        h, i, x = hit_pos[part], item_pos[part], weight[part]
-        _, once = np.unique(np.where(x > 0, i, -1), return_index=True)
-        yield (int((h - i).min()) - slack, int((h - i).max()) + length + slack, len(np.unique(i[x == 0])), float(x[once].sum()))
+    doc, where, it, ip, weight = hits
+    if not len(doc):
+        return
+    length = np.array([len(x) for x in block.words])[it]
+    slack = length // 2
+    head = np.ones(len(doc), bool)
+    head[1:] = (doc[1:] != doc[:-1]) | (it[1:] != it[:-1]) | (np.diff(where) > (length + slack)[1:])
+    passage, first = np.cumsum(head) - 1, np.flatnonzero(head)
+    n, pair = len(first), weight > 0
+    width = int(ip.max()) + 1
+    # each place of the item counts once
+    _, once = np.unique(passage[pair] * width + ip[pair], return_index=True)
+    rare = np.bincount(passage[pair][once], weight[pair][once], minlength=n)
+    seeds = np.bincount(np.unique(passage[~pair] * width + ip[~pair]) // width, minlength=n)
+    good = (rare >= -np.log(CHANCE)) | (seeds >= np.clip(block.seeds[it[first]], 1, 2))
+    lo = np.minimum.reduceat(where - ip, first) - slack[first]
+    hi = np.maximum.reduceat(where - ip, first) + (length + slack)[first]
+    for k in np.flatnonzero(good):
+        yield int(doc[first[k]]), int(it[first[k]]), int(lo[k]), int(hi[k])
 
 
 def _hits(block: _Block, finders: dict, w: C.Words):
@@ -227,30 +247,21 @@ def _align(shared, threshold: float):
         block = shared.value
         finders = {n: (f := _Finder(x[0]), np.searchsorted(x[0], f.values)) for n, x in block.grams.items()}
         whole = {n: _Finder(values) for n, (values, _) in block.short.items()}
-        least = -np.log(CHANCE)
         for rows, texts in C.text_chunks(batches, "text"):
             w = words_of(texts)
-            doc, where, it, ip, weight = _hits(block, finders, w)
-            heads = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (it[1:] != it[:-1])])[:len(doc)])
-            tails = np.append(heads[1:], len(doc))
+            best: dict = {}
+            for d, k, lo, hi in _passages(block, _hits(block, finders, w)):
+                words = block.words[k]
+                lo, hi = max(lo, 0), min(hi, int(w.count[d]))
+                passage = w.hash[w.first[d] + lo:w.first[d] + hi]
+                least = min(threshold * MATCH * len(words), block.enough[k])
+                if _bound(words, passage) < least:
+                    continue
+                score, x, y = smith_waterman(words, passage)
+                if score >= least and score > best.get((d, k), (0,))[0]:
+                    best[d, k] = score, lo + x, lo + y
             out = list(_whole(block, whole, w))
-            if len(heads):  # repeated hits count here, so nothing is left out too early
-                enough = (np.add.reduceat(weight, heads) >= least) | (
-                    np.add.reduceat((weight == 0).astype(np.int64), heads) >= np.minimum(2, np.maximum(1, block.seeds[it[heads]])))
-                heads, tails = heads[enough], tails[enough]
-            for a, b in zip(heads, tails):
-                words, d = block.words[it[a]], doc[a]
-                best = None
-                for lo, hi, seeds, rare in _passages(where[a:b], ip[a:b], weight[a:b], len(words), len(words) // 2):
-                    if seeds < max(1, min(2, block.seeds[it[a]])) and rare < least:
-                        continue
-                    lo, hi = max(lo, 0), min(hi, int(w.count[d]))
-                    passage = w.hash[w.first[d] + lo:w.first[d] + hi]
-                    score, x, y = smith_waterman(words, passage)
-                    if best is None or score > best[0]:
-                        best = (score, lo + x, lo + y)
-                if best and best[0] >= min(threshold * MATCH * len(words), block.enough[it[a]]):
-                    out.append((int(d), block.ids[it[a]], best[0] / (MATCH * len(words)), best[1], best[2]))
+            out += [(d, block.ids[k], score / (MATCH * len(block.words[k])), x, y) for (d, k), (score, x, y) in best.items()]
             if out:
                 d, ids, score, x, y = zip(*out)
                 ids_of = rows.column("doc_id").take(pa.array(d))
