@@ -200,12 +200,15 @@ def _may_link(percent: int) -> str:
     return f"{apart} <= ({100 - percent} * (x.n + y.n)) div {100 + percent}"
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int, scratch: C.Scratch, tag: str) -> DataFrame:
+def _links(pairs: DataFrame, fetch, percent: int, scratch: C.Scratch, tag: str) -> DataFrame:
     """Those of ``pairs(a, b)`` whose whole sets pass the test.
 
-    All pairs are tested, in as many blocks as keep the sets that travel with a
+    ``fetch`` gives the sets of classes; only those of these pairs are made.  All
+    pairs are tested, in as many blocks as keep the sets that travel with a
     block's pairs within the size of the table of sets.
     """
+    both = pairs.select(F.explode(F.array("a", "b")).alias("lo")).distinct()
+    sets = scratch.write(fetch(both), f"{tag}_sets")
     left = sets.select(F.col("lo").alias("a"), F.col("grams").alias("sa"))
     right = sets.select(F.col("lo").alias("b"), F.col("grams").alias("sb"))
     size = sets.select("lo", F.size("grams").cast("bigint").alias("m"))
@@ -218,6 +221,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int, scratch: C.Scratch,
         one = scratch.write(some.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
                             .mapInArrow(_verified(percent), "a bigint, b bigint"), f"{tag}{k}")
         found = one if found is None else found.unionByName(one)
+    scratch.drop(f"{tag}_sets")
     return found
 
 
@@ -262,9 +266,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         "a", F.struct("n", "sketch").alias("x")), "a").join(known.withColumnRenamed("lo", "b").select(
             "b", F.struct("n", "sketch").alias("y")), "b"))
     tested = scratch.write(tried.where(near).select("a", "b"), "tested")
-    sets = scratch.write(_fetch_sets(src, slim, degree.select("lo"), width), "sets")
+
+    def fetch(classes):
+        return _fetch_sets(src, slim, classes, width)
     scratch.drop("shared", "hub")
-    links = _links(tested, sets, percent, scratch, "links")
+    links = _links(tested, fetch, percent, scratch, "links")
     comp = scratch.write(C.components(links, scratch, "cc1"), "comp1")
 
     # pairs that share a group but are in different components so far
@@ -281,12 +287,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     more = _pairs(member.join(minor, "key").where(f"x.c <> y.c and {near}")
                   .select(F.col("x.lo").alias("lo"), F.col("y.lo").alias("lo2")), "lo", "lo2")
     more = scratch.write(more.join(tested, ["a", "b"], "left_anti"), "more")
-    comp2 = C.components(links.unionByName(_links(more, sets, percent, scratch, "more_links")), scratch, "cc2")
+    comp2 = C.components(links.unionByName(_links(more, fetch, percent, scratch, "more_links")), scratch, "cc2")
 
     named = scratch.write(slim.join(comp2.withColumnRenamed("node", "lo"), "lo", "left")
                           .select("rid", "doc_id", "n", F.coalesce("component", "lo").alias("c")), "named")
     names = scratch.write(named.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("name")), "names")
-    scratch.drop("profile", "star", "degree", "known", "tested", "sets", "label", "open", "rest", "more")
+    scratch.drop("profile", "star", "degree", "known", "tested", "label", "open", "rest", "more")
     return named.join(names, "c", "left").select(
         "rid", "doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component"),
         F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
