@@ -18,7 +18,8 @@ members of a linked pair hold the same subset of the matching segment, hence
 take the same choice.
 
 *Verification* counts the intersection of whole sets, of pairs that pass a
-parity sketch (see :func:`_may_link`), which rejects no linked pair.  Equal sets
+parity sketch (see :func:`_may_link`), then one as long as the sets ask for;
+neither rejects a linked pair.  Equal sets
 form one class beforehand (named by a 64-bit hash of the set).  Each class first
 meets the greatest of its groups' hubs, the class with most shared keys; then
 the pairs across components that still share a group are tested, each of them,
@@ -175,6 +176,45 @@ def _sets(width: int):
     return fn
 
 
+def _sketches(width: int):
+    """Each set's size and a parity sketch of 4 to 8 bits an element, in the column of sets."""
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in C.text_chunks(batches, "text", PIECE_BYTES):
+            doc, h = shingles(texts, width)
+            spot = C.mix64(h + np.uint64(11))
+            found = []
+            for k, n in enumerate(np.bincount(doc, minlength=len(texts)).tolist()):
+                bits = 1 << max(10, (4 * n - 1).bit_length())
+                at = spot[doc == k] if len(texts) < 2 else spot[slice(*np.searchsorted(doc, [k, k + 1]))]
+                odd = np.bincount((at & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+                found.append(np.concatenate([[n], np.packbits(odd).view(np.int64)]))
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("lo"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found), pa.int64()))],
+                names=["lo", "grams"])
+    return fn
+
+
+def _sieved(percent: int):
+    """Keeps the pairs whose sketches differ in no more bits than linked sets in elements."""
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("sa"), batch.column("sb")
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = a[i].values.to_numpy(), b[i].values.to_numpy()
+                both = int(x[0] + y[0])
+                x, y = x[1:], y[1:]
+                while len(x) > len(y):  # a place is the low bits of a hash, so halves fold onto each other
+                    x = x[:len(x) // 2] ^ x[len(x) // 2:]
+                while len(y) > len(x):
+                    y = y[:len(y) // 2] ^ y[len(y) // 2:]
+                apart = int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+                keep[i] = apart <= (100 - percent) * both // (100 + percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+    return fn
+
+
 def _verified(percent: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,12 +240,11 @@ def _may_link(percent: int) -> str:
     return f"{apart} <= ({100 - percent} * (x.n + y.n)) div {100 + percent}"
 
 
-def _links(pairs: DataFrame, fetch, percent: int, scratch: C.Scratch, tag: str) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose whole sets pass the test.
+def _tested(pairs: DataFrame, fetch, test, scratch: C.Scratch, tag: str) -> DataFrame:
+    """Those of ``pairs(a, b)`` that pass a test of what ``fetch`` gives for their classes.
 
-    ``fetch`` gives the sets of classes; only those of these pairs are made.  All
-    pairs are tested, in as many blocks as keep the sets that travel with a
-    block's pairs within the size of the table of sets.
+    All pairs are tested, in as many blocks as keep what travels with a block's
+    pairs within the size of the table fetched.
     """
     both = pairs.select(F.explode(F.array("a", "b")).alias("lo")).distinct()
     sets = scratch.write(fetch(both), f"{tag}_sets")
@@ -219,17 +258,23 @@ def _links(pairs: DataFrame, fetch, percent: int, scratch: C.Scratch, tag: str)
     for k in range(blocks):
         some = pairs if blocks == 1 else pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(blocks)) == k)
         one = scratch.write(some.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-                            .mapInArrow(_verified(percent), "a bigint, b bigint"), f"{tag}{k}")
+                            .mapInArrow(test, "a bigint, b bigint"), f"{tag}{k}")
         found = one if found is None else found.unionByName(one)
     scratch.drop(f"{tag}_sets")
     return found
 
 
-def _fetch_sets(docs: DataFrame, profile: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Whole sets of the classes in ``wanted(lo)``, one text of each class read again."""
+def _links(pairs: DataFrame, fetch, width: int, percent: int, scratch: C.Scratch, tag: str) -> DataFrame:
+    """Those of ``pairs(a, b)`` that link: long sketches sort most others out, whole sets decide."""
+    near = _tested(pairs, lambda c: fetch(c, _sketches(width)), _sieved(percent), scratch, f"{tag}_near")
+    return _tested(near, lambda c: fetch(c, _sets(width)), _verified(percent), scratch, tag)
+
+
+def _fetch(docs: DataFrame, profile: DataFrame, wanted: DataFrame, made) -> DataFrame:
+    """What ``made`` makes of the classes in ``wanted(lo)``, one text of each class read again."""
     one = profile.groupBy("lo").agg(F.min("rid").alias("rid")).join(wanted, "lo")
     return (docs.select("rid", "text").join(one, "rid").select("lo", "text")
-            .mapInArrow(_sets(width), "lo bigint, grams array<bigint>"))
+            .mapInArrow(made, "lo bigint, grams array<bigint>"))
 
 
 def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -267,10 +312,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
             "b", F.struct("n", "sketch").alias("y")), "b"))
     tested = scratch.write(tried.where(near).select("a", "b"), "tested")
 
-    def fetch(classes):
-        return _fetch_sets(src, slim, classes, width)
+    def fetch(classes, made):
+        return _fetch(src, slim, classes, made)
     scratch.drop("shared", "hub")
-    links = _links(tested, fetch, percent, scratch, "links")
+    links = _links(tested, fetch, width, percent, scratch, "links")
     comp = scratch.write(C.components(links, scratch, "cc1"), "comp1")
 
     # pairs that share a group but are in different components so far
@@ -287,7 +332,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     more = _pairs(member.join(minor, "key").where(f"x.c <> y.c and {near}")
                   .select(F.col("x.lo").alias("lo"), F.col("y.lo").alias("lo2")), "lo", "lo2")
     more = scratch.write(more.join(tested, ["a", "b"], "left_anti"), "more")
-    comp2 = C.components(links.unionByName(_links(more, fetch, percent, scratch, "more_links")), scratch, "cc2")
+    comp2 = C.components(links.unionByName(_links(more, fetch, width, percent, scratch, "more_links")), scratch, "cc2")
 
     named = scratch.write(slim.join(comp2.withColumnRenamed("node", "lo"), "lo", "left")
                           .select("rid", "doc_id", "n", F.coalesce("component", "lo").alias("c")), "named")
