@@ -4,6 +4,12 @@ Parameter names of the reference's model wrappers are mapped onto Spark's
 estimators; parameters without a Spark counterpart are ignored with a note
 in the README.  Training always uses ``split = 'train'``; tuning scores on
 ``split = 'val'``.
+
+Boosted trees limit leaves by depth: a tree of ``num_leaves`` leaves is grown
+``ceil(log2(num_leaves))`` deep, or ``max_depth`` if that is less.  Boosting cuts its
+lineage every ten rounds in the session's checkpoint folder, so hundreds of
+rounds neither overflow the scheduler's stack nor start over when an executor
+is lost.
 """
 
 from __future__ import annotations
@@ -17,11 +23,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from caseflow.operators.evaluate import log_loss
 from caseflow.operators.prepare import SPLIT, class_weights
+from caseflow.session import checkpoint_root
 
 # Presets of the boosted-tree variants and the tuning ranges.
 MAX_DEPTH = 30
 PRESETS = {
-    "gbt": {"n_estimators": 300, "learning_rate": 0.1, "max_depth": -1, "min_data_in_leaf": 20,
+    "gbt": {"n_estimators": 300, "learning_rate": 0.1, "max_depth": -1, "num_leaves": 31, "min_data_in_leaf": 20,
             "feature_fraction": 1.0},
     "gbt_sampled": {"n_estimators": 300, "learning_rate": 0.1, "max_depth": 6, "subsample": 0.8,
                     "colsample_bytree": 0.8},
@@ -33,8 +40,18 @@ TUNE_RANGES = {"num_leaves": (16, 120), "max_depth": (3, 18), "learning_rate": (
                "min_data_in_leaf": (5, 80), "feature_fraction": (0.5, 1.0)}
 
 
-def _depth(d):
-    """Unlimited (none or negative) is the deepest tree that Spark grows; a larger demand is an error."""
+EXPLORE, REFINE = 8, 20  # trials drawn from the whole ranges, and around the best so far
+ROUNDS = 300
+RUNGS = (30, 100, ROUNDS)
+KEEP = 3                 # one trial in so many goes on to the next rung
+ROWS_PER_PARTITION = 50_000
+
+
+def _depth(d, leaves: int | None = None):
+    """Depth for a limit of depth and leaves; unlimited is the deepest tree that Spark grows, more is an error."""
+    if leaves is not None:
+        by_leaves = max(1, (int(leaves) - 1).bit_length())
+        return by_leaves if d is None or d < 0 else min(int(d), by_leaves)
     if d is None or d < 0:
         return MAX_DEPTH
     if d > MAX_DEPTH:
@@ -59,7 +76,7 @@ def make_estimator(kind: str, label: str, features: str = "features", weight: st
         common["weightCol"] = weight
     if kind in ("gbt", "gbt_sampled"):
         est = GBTClassifier(maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)),
-                            maxDepth=_depth(p.get("max_depth")),
+                            maxDepth=_depth(p.get("max_depth"), p.get("num_leaves")),
                             minInstancesPerNode=int(p.get("min_data_in_leaf", 1)),
                             subsamplingRate=float(p.get("subsample", 1.0)),
                             featureSubsetStrategy=_fraction(p.get("colsample_bytree", p.get("feature_fraction", 1.0))),
@@ -85,9 +102,15 @@ def l2_reg_param(C: float, n_train: int) -> float:
     return 1.0 / (C * max(n_train, 1))
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    """Rows in as few partitions as their number asks for: every level of every tree is a job over them."""
+    return rows.coalesce(max(1, -(-rows.count() // ROWS_PER_PARTITION)))
+
+
 def fit(prepared: DataFrame, kind: str, label: str, features: str = "features", balanced: bool = False, **params):
     """Model fitted on the train rows; ``balanced`` weighs each class by n / (k · n_class)."""
-    train = prepared.where(F.col(SPLIT) == "train")
+    checkpoint_root(prepared.sparkSession)
+    train = _sized(prepared.where(F.col(SPLIT) == "train"))
     if balanced:
         train, params["weight"] = class_weights(train, label, "_weight"), "_weight"
     if kind == "logit" and "reg_param" not in params:
@@ -101,36 +124,71 @@ def score(model, df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return out.withColumn("pred", (F.col("score") >= F.lit(threshold)).cast("int"))
 
 
-def tune_random(prepared: DataFrame, label: str, n_trials: int = 8, seed: int = 42,
-                ranges: dict | None = None, n_estimators: int = 50, parallelism: int = 2,
-                features: str = "features"):
-    """M9 (re-aimed): seeded random search over the reference's ranges.
+def _fit_stopped(rows: DataFrame, label: str, features: str, rounds: int, params: dict):
+    """Boosted trees on the train rows that end before the first round that does worse on val."""
+    est = make_estimator("gbt", label, features, n_estimators=rounds, **params)
+    est.setParams(validationIndicatorCol="_val", validationTol=0.0)
+    return est.fit(rows.withColumn("_val", F.col(SPLIT) == "val"))
+
 
-    Each trial is a Spark fit on train scored by log loss on val; a few run
-    concurrently (as ``TrainValidationSplit(parallelism)`` does).  Returns the
-    trial table and the best parameters.
+def _proposals(rng: random.Random, ranges: dict, n: int, around: dict | None = None) -> list[dict]:
+    """Draws from the whole ranges, or normal steps of a fifth of each range from a good point, kept inside."""
+    out = []
+    for _ in range(n):
+        t = {}
+        for k, (lo, hi) in ranges.items():
+            x = rng.uniform(lo, hi) if around is None else min(max(rng.gauss(around[k], (hi - lo) / 5), lo), hi)
+            t[k] = int(x) if isinstance(lo, int) else float(x)
+        out.append(t)
+    return out
+
+
+def tune(prepared: DataFrame, label: str, explore: int = EXPLORE, refine: int = REFINE, seed: int = 42,
+         ranges: dict | None = None, rungs: tuple = RUNGS, parallelism: int = 4, features: str = "features"):
+    """M9: search over the ranges with early stopping and successive halving, then a refit.
+
+    ``explore`` trials come from the whole ranges, ``refine`` more from around the
+    best so far, in batches of ``parallelism``.  A trial is a fit on train that stops
+    when val gets worse; all trials get the first rung's rounds, and of those that
+    would go on one in ``KEEP`` gets the next rung's.  The best parameters, with the
+    rounds they used, are fitted again on the train rows.
+
+    Returns the trial table (one row a trial: parameters, ``phase``, ``rung``,
+    ``rounds``, ``stopped``, ``val_log_loss``), the best trial and the refit model.
     """
+    checkpoint_root(prepared.sparkSession)
     ranges = ranges or TUNE_RANGES
     rng = random.Random(seed)
-    trials = []
-    for i in range(n_trials):
-        t = {k: rng.uniform(*v) for k, v in ranges.items()}
-        trials.append({"trial": i, "max_depth": int(t["max_depth"]), "learning_rate": float(t["learning_rate"]),
-                       "min_data_in_leaf": int(t["min_data_in_leaf"]),
-                       "feature_fraction": float(t["feature_fraction"]), "num_leaves": int(t["num_leaves"])})
-    prepared = prepared.where(F.col(SPLIT).isin("train", "val"))
-    val = prepared.where(F.col(SPLIT) == "val")
-
-    def run(t):
-        m = fit(prepared, "gbt", label, features, n_estimators=n_estimators, max_depth=t["max_depth"],
-                learning_rate=t["learning_rate"], min_data_in_leaf=t["min_data_in_leaf"],
-                feature_fraction=t["feature_fraction"])
-        ll = log_loss(score(m, val), y=label).first()["log_loss"]
-        return {**t, "val_log_loss": float(ll)}
+    rows = _sized(prepared.where(F.col(SPLIT).isin("train", "val")))
+    val = rows.where(F.col(SPLIT) == "val")
+    done: list[dict] = []
+
+    def run(job):
+        t, rung = job
+        model = _fit_stopped(rows, label, features, rungs[rung], {k: t[k] for k in ranges})
+        loss = log_loss(score(model, val), y=label).first()["log_loss"]
+        return {**t, "rung": rung, "rounds": model.getNumTrees, "stopped": model.getNumTrees < rungs[rung],
+                "val_log_loss": float("inf") if loss is None else float(loss)}
+
+    def rank(t):
+        return t["val_log_loss"], t["trial"]
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        results = list(pool.map(run, trials))
-    spark = prepared.sparkSession
-    table = spark.createDataFrame(results)
-    best = min(results, key=lambda r: (r["val_log_loss"], r["trial"]))
-    return table, best
+        def batch(points, phase):
+            jobs = [({"trial": len(done) + i, "phase": phase, **p}, 0) for i, p in enumerate(points)]
+            done.extend(pool.map(run, jobs))
+        batch(_proposals(rng, ranges, explore), "explore")
+        left = refine
+        while left > 0:
+            n = min(left, max(1, parallelism))
+            best = min(done, key=rank) if done else None
+            batch(_proposals(rng, ranges, n, best), "refine")
+            left -= n
+        for rung in range(1, len(rungs)):
+            open_ = sorted((t for t in done if t["rung"] == rung - 1 and not t["stopped"]), key=rank)
+            for t in pool.map(run, [({k: t[k] for k in ("trial", "phase", *ranges)}, rung)
+                                    for t in open_[:-(-len(open_) // KEEP)]]):
+                done[t["trial"]] = t
+    best = min(done, key=rank)
+    model = fit(prepared, "gbt", label, features, n_estimators=best["rounds"], **{k: best[k] for k in ranges})
+    return prepared.sparkSession.createDataFrame(done), best, model

@@ -20,14 +20,6 @@ from caseflow.plans.catalog_prep import CASES_SQL, CATEGORICAL, LABEL, NUMERIC,
 from caseflow.plans.registry import register
 from caseflow.session import scratch_path
 
-# Small, fast settings for the registered runs (the presets stay available).
-SMALL = {"gbt": {"n_estimators": 20, "max_depth": 4},
-         "gbt_sampled": {"n_estimators": 20, "max_depth": 4},
-         "gbt_symmetric": {"iterations": 20, "depth": 4},
-         "forest": {"n_estimators": 20, "max_depth": 5},
-         "logit": {}}
-
-
 def prepared(spark, sf_dir):
     """Fitted preparation and the prepared cases, written once: fits and scores read them again and again."""
     prep, frame = D.prepare_vectors(split_cases(spark, sf_dir), NUMERIC, CATEGORICAL)
@@ -46,9 +38,30 @@ def slot_names(prep) -> list[str]:
     return names
 
 
+_FITTED: dict = {}  # application, data and kind → where the fitted preparation, the prepared cases and the model lie
+
+
+def fitted(spark, sf_dir, kind):
+    """Preparation, prepared cases and model of the full preset, fitted once a session and read back from shared scratch."""
+    def once(what, make):
+        key = spark.sparkContext.applicationId, sf_dir, what
+        if key not in _FITTED:
+            _FITTED[key] = make()
+        return _FITTED[key]
+
+    prep, cases = once("cases", lambda: prepared(spark, sf_dir))
+
+    def train():
+        path = scratch_path(spark, kind)
+        PipelineModel(stages=[M.fit(cases, kind, LABEL)]).write().overwrite().save(path)
+        return path
+    return prep, cases, PipelineModel.load(once(kind, train)).stages[0]
+
+
 def _scored(spark, sf_dir, kind, balanced=False):
-    _, frame = prepared(spark, sf_dir)
-    model = M.fit(frame, kind, LABEL, balanced=balanced, **SMALL[kind])
+    _, frame, model = fitted(spark, sf_dir, kind)
+    if balanced:
+        model = M.fit(frame, kind, LABEL, balanced=True)
     out = M.score(model, frame)
     return out.select("case_id", "split", F.col(LABEL).alias("y"), "score", "pred")
 
@@ -78,10 +91,9 @@ def q_score_cases(spark, sf_dir):
 @register("model_comparison")
 def q_model_comparison(spark, sf_dir):
     """val/test AUC and class-1 precision, recall, F1 per model, by val AUC."""
-    _, frame = prepared(spark, sf_dir)
     scored = None
     for kind in M.PRESETS:
-        m = M.fit(frame, kind, LABEL, **SMALL[kind])
+        _, frame, m = fitted(spark, sf_dir, kind)
         s = M.score(m, frame.where(F.col("split").isin("val", "test")))
         s = s.select(F.lit(kind).alias("model"), "split", F.col(LABEL).alias("y"), "score", "pred")
         scored = s if scored is None else scored.unionByName(s)
@@ -93,18 +105,35 @@ def q_model_comparison(spark, sf_dir):
     return out.join(val_auc, "model").orderBy(F.col("_val_auc").desc(), "model", "split").drop("_val_auc")
 
 
+def tuned(spark, sf_dir):
+    """Search and refit of the presets' ranges, run once a session."""
+    key = spark.sparkContext.applicationId, sf_dir, "tuned"
+    if key not in _FITTED:
+        _, frame = prepared(spark, sf_dir)
+        _FITTED[key] = frame, *M.tune(frame, LABEL)
+    return _FITTED[key]
+
+
 @register("tune_random")
 def q_tune_random(spark, sf_dir):
-    _, frame = prepared(spark, sf_dir)
-    table, _ = M.tune_random(frame, LABEL, n_trials=4, n_estimators=10, parallelism=2)
-    return table
+    """M9: all trials with their parameters, rounds used and loss."""
+    return tuned(spark, sf_dir)[1]
+
+
+@register("tune_refit")
+def q_tune_refit(spark, sf_dir):
+    """M9: the best trial's model fitted again: losses by split, and whether its val loss is the trial's."""
+    frame, _, best, model = tuned(spark, sf_dir)
+    s = M.score(model, frame).select("split", F.col(LABEL).alias("y"), "score", "pred")
+    out = E.log_loss(s, keys=["split"]).join(E.auc(s, keys=["split"]), "split")
+    same = F.when(F.col("split") == "val", F.abs(F.col("log_loss") - best["val_log_loss"]) < 1e-6)
+    return out.withColumns({"trial": F.lit(best["trial"]), "rounds": F.lit(best["rounds"]), "best_is_refit": same})
 
 
 @register("model_roundtrip")
 def q_model_roundtrip(spark, sf_dir):
     """Save prep + model as one PipelineModel, load it back, score."""
-    prep, frame = prepared(spark, sf_dir)
-    model = M.fit(frame, "gbt", LABEL, **SMALL["gbt"])
+    prep, frame, model = fitted(spark, sf_dir, "gbt")
     path = scratch_path(spark, "pipeline-model")
     PipelineModel(stages=list(prep.stages) + [model]).write().overwrite().save(path)
     loaded = PipelineModel.load(path)
@@ -116,23 +145,20 @@ def q_model_roundtrip(spark, sf_dir):
 
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
-    prep, frame = prepared(spark, sf_dir)
-    model = M.fit(frame, "gbt", LABEL, **SMALL["gbt"])
+    prep, frame, model = fitted(spark, sf_dir, "gbt")
     return X.feature_importance(model, slot_names(prep), 15)
 
 
 @register("shap_tree")
 def q_shap_tree(spark, sf_dir):
-    prep, frame = prepared(spark, sf_dir)
-    model = M.fit(frame, "gbt", LABEL, **SMALL["gbt"])
+    prep, frame, model = fitted(spark, sf_dir, "gbt")
     long, base = X.tree_shap(model, X.choose_split(frame, "test"), slot_names(prep))
     return long.crossJoin(base)
 
 
 @register("shap_linear_model")
 def q_shap_linear_model(spark, sf_dir):
-    prep, frame = prepared(spark, sf_dir)
-    model = M.fit(frame, "logit", LABEL)
+    prep, frame, model = fitted(spark, sf_dir, "logit")
     long, base = X.linear_shap_from_model(model, X.choose_split(frame, "test"), slot_names(prep))
     return long.crossJoin(base)
 

@@ -50,6 +50,6 @@ def test_every_query_has_oracle_or_is_learned():
     rows_only = set(registry.QUERIES) - set(registry.ORACLE)
     learned = {"prepare_vectors", "train_gbt", "train_gbt_sampled", "train_gbt_symmetric", "train_forest",
                "train_logit", "train_balanced", "score_cases",
-               "model_comparison", "tune_random", "model_roundtrip", "feature_importance", "shap_tree",
+               "model_comparison", "tune_random", "tune_refit", "model_roundtrip", "feature_importance", "shap_tree",
                "shap_linear_model"}
     assert rows_only <= learned
