@@ -244,6 +244,20 @@ def q_read_csv_renamed(spark, sf_dir):
     return out.withColumn("cost", F.round("cost", 6))
 
 
+@register("read_csv_directory", _with_log("log_day", """SELECT case_id, activity, "timestamp", seq, status, resource,
+CASE WHEN seq % 2 = 0 THEN round(cost, 6) END AS cost, deadline, group_code, priority, purpose_code, intervention_type FROM log"""))
+def q_read_csv_directory(spark, sf_dir):
+    """A directory of files with differing headers: own order and names, and a file without costs."""
+    df, _, _ = load_log(spark, sf_dir, "log_day")
+    own = {**C.RICH_COLUMNS, "cost": "Cost"}
+    path = scratch_path(spark, "csv-directory")
+    CSV.write_csv(df.where("seq % 2 = 0"), path)
+    CSV.write_csv(df.where("seq % 2 <> 0 or seq is null").select(*[F.col(n).alias(own[n]) for n in sorted(own, reverse=True) if n != "cost"]),
+                  path, mode="append")
+    out = CSV.read_event_csv(spark, path, CSV.RICH_SCHEMA, time_cols=("timestamp", "deadline"))
+    return out.withColumn("cost", F.round("cost", 6))
+
+
 @register("read_csv_dayfirst", """SELECT event_id, user_id, event_type, date_trunc('second', ts) AS ts, value
 FROM events""")
 def q_read_csv_dayfirst(spark, sf_dir):
