@@ -115,15 +115,12 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None, scale: int
     With ``scale``, values have that many decimals and are summed exactly.
     """
     columns = columns or numeric_columns(df)
-    long = _long(df, columns, "double")
-    mean = F.avg("value") if scale is None else (
-        F.sum(F.col("value").cast(f"decimal(28,{scale})")).cast("double") / F.count("value"))
-    moments = long.groupBy("column_name").agg(
-        F.count("value").alias("count"), mean.alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["column_name"], ["p25", "p50", "p75"])
-    return moments.join(q, "column_name", "left").select(
-        "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    out = exact_quantiles(_long(df, columns, "double"), "value", [0.25, 0.5, 0.75], ["column_name"], ["p25", "p50", "p75"],
+                          moments=True, scale=scale)
+    # a column without values has a row as well
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    return names.join(out, "column_name", "left").select(
+        "column_name", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def case_throughput_hours(df: DataFrame, cols: LogCols = CANONICAL) -> DataFrame:
@@ -134,12 +131,9 @@ def case_throughput_hours(df: DataFrame, cols: LogCols = CANONICAL) -> DataFrame
 
 def throughput_describe(df: DataFrame, cols: LogCols = CANONICAL) -> DataFrame:
     """Distribution of case throughput (hours) with the 50/90/95 % points."""
-    t = case_throughput_hours(df, cols)
-    m = t.agg(F.count("throughput_hours").alias("n_cases"), F.avg("throughput_hours").alias("mean"),
-              F.stddev_samp("throughput_hours").alias("std"), F.min("throughput_hours").alias("min"),
-              F.max("throughput_hours").alias("max"))
-    q = exact_quantiles(t, "throughput_hours", [0.5, 0.9, 0.95], names=["p50", "p90", "p95"])
-    return m.crossJoin(q).select("n_cases", "mean", "std", "min", "p50", "p90", "p95", "max")
+    out = exact_quantiles(case_throughput_hours(df, cols), "throughput_hours", [0.5, 0.9, 0.95], names=["p50", "p90", "p95"],
+                          moments=True)
+    return out.select(F.col("count").alias("n_cases"), "mean", "std", "min", "p50", "p90", "p95", "max")
 
 
 def boxplot_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
