@@ -1,96 +1,129 @@
-"""Skew-safe "next event in the case" for transitions, gaps and the DFG.
+"""Skew-safe "next event in the case" for transitions, gaps, prefixes and the DFG.
 
 A plain ``lead() over partitionBy(case)`` sends a whole case to one task.
-Here a case with more than ``hot_case_rows`` events is split into ``k``
-chunks by time (``k = ceil(n / hot_case_rows)``; chunk = position of the
-time in the case's ``[min, max]`` span, so chunks are contiguous in event
-order and equal times share a chunk).  ``lead`` then runs per
-``(case, chunk)``; the last event of each chunk takes the first event of the
-next non-empty chunk from a per-chunk table (one row per chunk), joined on
-the window's own partitioning key, so the events are shuffled only once.
-
-Hot cases are found by one map-side-combined count per case.  Their list is
-broadcast only after its size is checked; beyond ``broadcast_cap`` rows it is
-joined normally (AQE splits skewed partitions of that join).  When no case is
-hot the plan is the plain case window.
+Here a long case is cut into chunks of about ``hot_case_rows`` events and the
+window runs per ``(case, chunk)``:
+
+1. a hash sample of the events (``SAMPLED`` of each ``hot_case_rows``) is numbered
+   per case in event order; every ``SAMPLED``-th key is a border.  Cases of fewer
+   events have none.  Borders are whole order keys, so bursts and equal times are
+   cut as evenly as anything else; only events that tie in every order column
+   stay together;
+2. beyond ``MAX_BORDERS`` borders every 2nd, 3rd… of a case is kept, so the table
+   of borders that is broadcast is bounded whatever the size of the log;
+3. an event's chunk is the number of its case's borders that do not sort after
+   it, found by bisection.  The chunks of a case are contiguous in event order;
+4. a table of one row per chunk of the cut cases carries values over the borders:
+   the next chunk's first event, the time span and the maxima of the case.
+
+Everything is lazy and the events are shuffled once, by ``(case, chunk)``.  If no
+case has a border, adaptive execution drops the joins with the empty tables.
+Events without a case are spread over many chunks, as they get no values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caseflow.functions.ordering import order_keys, order_struct
 from caseflow.functions.roles import CANONICAL, LogCols
-from caseflow.functions.timecols import micros_between
 
-HOT_CASE_ROWS = 5_000_000
-BROADCAST_CAP = 200_000
+CHUNK_ROWS = 5_000_000
+SAMPLED = 64              # sampled events of a chunk
+MAX_BORDERS = 1 << 16
+HASH_SPAN = 1 << 40
+SPREAD = 1 << 12          # chunks of the events without a case
+
+
+def chunk_borders(df: DataFrame, cols: LogCols, hot_case_rows: int = CHUNK_ROWS,
+                  max_borders: int = MAX_BORDERS) -> DataFrame:
+    """``_of, _borders``: per long case the sorted order keys at which its chunks start, ``max_borders`` in all at most."""
+    rate = min(1.0, SAMPLED / hot_case_rows)
+    stride = max(1, round(hot_case_rows * rate))
+    drawn = F.pmod(F.xxhash64(cols.case, *cols.order_columns()), F.lit(HASH_SPAN)) < int(rate * HASH_SPAN)
+    sample = df.where(F.col(cols.case).isNotNull() & drawn).select(
+        F.col(cols.case).alias("_of"), order_struct(cols).alias("_at"))
+    place = F.row_number().over(Window.partitionBy("_of").orderBy("_at"))
+    # about one row per hot_case_rows events from here on
+    marks = sample.withColumn("_place", place).where(F.col("_place") % stride == 0)
+    thin = F.ceil(F.count(F.lit(1)).over(Window.partitionBy()) / F.lit(max_borders))
+    return (marks.withColumn("_thin", thin).where(F.col("_place") % (F.col("_thin") * stride) == 0)
+                 .groupBy("_of").agg(F.array_sort(F.collect_set("_at")).alias("_borders")))
+
+
+def _chunk_of(cols: LogCols) -> Column:
+    """How many of ``_borders`` do not sort after the event."""
+    at = order_struct(cols)
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(MAX_BORDERS.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(
+        F.get(F.col("_borders"), n + step - 1) <= at, n + step).otherwise(n))
 
 
 def with_next_event(df: DataFrame, cols: LogCols = CANONICAL, carry: list[str] | None = None,
-                    hot_case_rows: int = HOT_CASE_ROWS, broadcast_cap: int = BROADCAST_CAP,
-                    with_case_span: bool = True, case_max: list[str] | None = None) -> DataFrame:
-    """Add ``_nx_<c>`` (next event's value of each carried column), ``_has_next``
-    and, with ``with_case_span``, ``_case_min``/``_case_max`` (case time span);
-    ``case_max`` columns get their per-case maximum as ``_cmax_<c>``."""
+                    hot_case_rows: int = CHUNK_ROWS, with_case_span: bool = True,
+                    case_max: list[str] | None = None, prefix: str | None = None,
+                    max_borders: int = MAX_BORDERS) -> DataFrame:
+    """Add ``_nx_<c>`` (next event's value of each carried column) and ``_has_next``;
+    with ``with_case_span`` also ``_case_min``/``_case_max`` (case time span),
+    for ``case_max`` columns their per-case maximum as ``_cmax_<c>``, and for
+    ``prefix`` its non-null values up to the event as ``_prefix``.
+
+    Events without a case get nulls.
+    """
     case_max = list(case_max or [])
     case, ts = cols.case, cols.timestamp
-    carry = list(dict.fromkeys((carry or [cols.status]) + [ts]))
-    stats = df.where(F.col(case).isNotNull()).groupBy(case).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_mn"), F.max(ts).alias("_mx"),
+    carry = list(dict.fromkeys([cols.status] if carry is None else carry))
+    borders = F.broadcast(chunk_borders(df, cols, hot_case_rows, max_borders))
+
+    cut = df.join(borders, F.col(case) == F.col("_of")).withColumn("_in", _chunk_of(cols))
+    first = F.min(F.struct(order_struct(cols).alias("o"), *[F.col(c).alias(c) for c in carry]))
+    chunks = cut.groupBy("_of", "_in").agg(
+        first.alias("_first"), F.min(ts).alias("_mn"), F.max(ts).alias("_mx"),
         *[F.max(c).alias(f"_hm_{c}") for c in case_max])
-    hot = stats.where(F.col("_n") > hot_case_rows)
-    n_hot = hot.count()
-
-    if n_hot == 0:
-        out = df.withColumn("_chunk", F.lit(0))
-    else:
-        hot = hot.withColumn("_k", F.ceil(F.col("_n") / F.lit(hot_case_rows)).cast("int"))
-        side = F.broadcast(hot) if n_hot <= broadcast_cap else hot
-        out = df.join(side, case, "left")
-        span = micros_between(F.col("_mn"), F.col("_mx"))
-        pos = F.floor(micros_between(F.col("_mn"), F.col(ts)) * F.col("_k") / span)
-        chunk = (F.when(F.col("_k").isNull(), F.lit(0))
-                  .when(F.col(ts).isNull(), F.col("_k"))
-                  .when(span == 0, F.lit(0))
-                  .otherwise(F.least(pos, F.col("_k") - 1)).cast("int"))
-        out = out.withColumn("_chunk", chunk)
-
-    w = Window.partitionBy(case, "_chunk").orderBy(*order_keys(cols))
-    local = {f"_lx_{c}": F.lead(c).over(w) for c in carry}
-    local["_local_next"] = F.lead(F.lit(1)).over(w).isNotNull()
+    whole = Window.partitionBy("_of")
+    chunks = chunks.select(
+        "_of", "_in", F.lead("_first").over(whole.orderBy("_in")).alias("_next_first"),
+        F.min("_mn").over(whole).alias("_mn"), F.max("_mx").over(whole).alias("_mx"),
+        *[F.max(f"_hm_{c}").over(whole).alias(f"_hm_{c}") for c in case_max])
+
+    chunk = (F.when(F.col(case).isNull(), F.pmod(F.xxhash64(*cols.order_columns()), F.lit(SPREAD)).cast("int"))
+              .when(F.col("_borders").isNull(), F.lit(0)).otherwise(_chunk_of(cols)))
+    out = df.join(borders, F.col(case) == F.col("_of"), "left").withColumn("_chunk", chunk).drop("_of", "_borders")
+
+    part = Window.partitionBy(case, "_chunk")
+    order = part.orderBy(*order_keys(cols))
+    local = {f"_lx_{c}": F.lead(c).over(order) for c in carry}
+    local["_local_next"] = F.lead(F.lit(1)).over(order).isNotNull()
     if with_case_span:
-        whole = Window.partitionBy(case, "_chunk")
-        local["_wmin"] = F.min(ts).over(whole)
-        local["_wmax"] = F.max(ts).over(whole)
+        local["_wmin"], local["_wmax"] = F.min(ts).over(part), F.max(ts).over(part)
     for c in case_max:
-        local[f"_wm_{c}"] = F.max(c).over(Window.partitionBy(case, "_chunk"))
+        local[f"_wm_{c}"] = F.max(c).over(part)
+    if prefix:
+        local["_lp"] = F.collect_list(prefix).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = out.withColumns(local)
 
-    if n_hot == 0:
-        nxt = {f"_nx_{c}": F.col(f"_lx_{c}") for c in carry}
-        nxt["_has_next"] = F.col("_local_next")
-        if with_case_span:
-            nxt["_case_min"], nxt["_case_max"] = F.col("_wmin"), F.col("_wmax")
-        for c in case_max:
-            nxt[f"_cmax_{c}"] = F.col(f"_wm_{c}")
-    else:
-        first = F.min(F.struct(order_struct(cols).alias("o"), *[F.col(c).alias(c) for c in carry]))
-        chunks = df.join(side.select(case, "_k", "_mn", "_mx"), case, "inner") \
-            .withColumn("_chunk", chunk).groupBy(case, "_chunk").agg(first.alias("_first"))
-        chunks = chunks.withColumn("_next_first", F.lead("_first").over(Window.partitionBy(case).orderBy("_chunk")))
-        out = out.join(chunks.select(case, "_chunk", "_next_first"), [case, "_chunk"], "left")
-        nxt = {f"_nx_{c}": F.when(F.col("_local_next"), F.col(f"_lx_{c}")).otherwise(F.col("_next_first")[c])
-               for c in carry}
-        nxt["_has_next"] = F.col("_local_next") | F.col("_next_first").isNotNull()
-        if with_case_span:
-            nxt["_case_min"] = F.coalesce(F.col("_mn"), F.col("_wmin"))
-            nxt["_case_max"] = F.coalesce(F.col("_mx"), F.col("_wmax"))
-        for c in case_max:
-            nxt[f"_cmax_{c}"] = F.when(F.col("_k").isNotNull(), F.col(f"_hm_{c}")).otherwise(F.col(f"_wm_{c}"))
-    has_case = F.col(case).isNotNull()
-    nxt = {k: F.when(has_case, v) for k, v in nxt.items()}
-    out = out.withColumns(nxt)
-    drop = [c for c in out.columns if c.startswith(("_lx_", "_wm_", "_hm_")) or c in
-            ("_local_next", "_wmin", "_wmax", "_next_first", "_chunk", "_n", "_mn", "_mx", "_k")]
-    return out.drop(*drop)
+    # at most two rows per border
+    same = (F.col(case) == F.col("_of")) & (F.col("_chunk") == F.col("_in"))
+    out = out.join(F.broadcast(chunks), same, "left").drop("_of", "_in")
+    new = {f"_nx_{c}": F.when(F.col("_local_next"), F.col(f"_lx_{c}")).otherwise(F.col("_next_first")[c]) for c in carry}
+    new["_has_next"] = F.col("_local_next") | F.col("_next_first").isNotNull()
+    if with_case_span:
+        new["_case_min"], new["_case_max"] = F.coalesce("_mn", "_wmin"), F.coalesce("_mx", "_wmax")
+    for c in case_max:
+        new[f"_cmax_{c}"] = F.coalesce(f"_hm_{c}", f"_wm_{c}")
+    if prefix:
+        # as long as the prefixes themselves, hence joined by the window's own key and not broadcast
+        out = out.join(_earlier(cut, cols, prefix), same, "left").drop("_of", "_in")
+        new["_prefix"] = F.concat(F.coalesce("_earlier", F.array().cast(out.schema["_lp"].dataType)), "_lp")
+    out = out.withColumns({k: F.when(F.col(case).isNotNull(), v) for k, v in new.items()})
+    return out.drop("_chunk", "_local_next", "_next_first", "_wmin", "_wmax", "_mn", "_mx", "_lp", "_earlier",
+                    *[f"_lx_{c}" for c in carry], *[f"{p}{c}" for c in case_max for p in ("_wm_", "_hm_")])
+
+
+def _earlier(cut: DataFrame, cols: LogCols, prefix: str) -> DataFrame:
+    """Per chunk of a cut case the values of its earlier chunks, in event order."""
+    item = F.struct(order_struct(cols).alias("o"), F.col(prefix).alias("v"))
+    values = F.transform(F.array_sort(F.collect_list(F.when(F.col(prefix).isNotNull(), item))), lambda x: x["v"])
+    before = Window.partitionBy("_of").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    return cut.groupBy("_of", "_in").agg(values.alias("_v")).select(
+        "_of", "_in", F.flatten(F.collect_list("_v").over(before)).alias("_earlier"))

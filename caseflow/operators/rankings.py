@@ -9,14 +9,15 @@ shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from caseflow.functions.ordering import order_keys, order_struct
 from caseflow.functions.quantiles import exact_quantiles
 from caseflow.functions.roles import CANONICAL, LogCols
 from caseflow.functions.timecols import micros_between, micros_to_days
 from caseflow.operators.labels import LATE
-from caseflow.operators.sequence import SEP, case_window
+from caseflow.operators.nextevent import CHUNK_ROWS, with_next_event
+from caseflow.operators.sequence import SEP
 
 N = "n"
 
@@ -149,9 +150,8 @@ def directly_follows(df: DataFrame, cols: LogCols = CANONICAL, hot_case_rows: in
     The next activity comes from the skew-safe next-event operator; the
     pair counts are map-side combined before their shuffle.
     """
-    from caseflow.operators.nextevent import HOT_CASE_ROWS, with_next_event
     nx = with_next_event(df.where(F.col(cols.case).isNotNull()), cols, carry=[cols.activity],
-                         hot_case_rows=hot_case_rows or HOT_CASE_ROWS, with_case_span=False)
+                         hot_case_rows=hot_case_rows or CHUNK_ROWS, with_case_span=False)
     pairs = nx.select(F.col(cols.activity).alias("src"), F.col(f"_nx_{cols.activity}").alias("dst"))
     return (pairs.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
                  .groupBy("src", "dst").agg(F.count(F.lit(1)).alias(N))
@@ -160,6 +160,3 @@ def directly_follows(df: DataFrame, cols: LogCols = CANONICAL, hot_case_rows: in
 
 def round_cols(df: DataFrame, names: list[str], digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in names})
-
-
-Column = Column
