@@ -59,6 +59,33 @@ def _chunk_of(cols: LogCols) -> Column:
         F.get(F.col("_borders"), n + step - 1) <= at, n + step).otherwise(n))
 
 
+def _in_chunks(df: DataFrame, cols: LogCols, hot_case_rows: int, max_borders: int) -> tuple[DataFrame, DataFrame]:
+    """Events of the cut cases with ``_of, _in`` (case, chunk), and all events with ``_chunk``."""
+    case = F.col(cols.case)
+    borders = F.broadcast(chunk_borders(df, cols, hot_case_rows, max_borders))
+    chunk = (F.when(case.isNull(), F.pmod(F.xxhash64(*cols.order_columns()), F.lit(SPREAD)).cast("int"))
+              .when(F.col("_borders").isNull(), F.lit(0)).otherwise(_chunk_of(cols)))
+    cut = df.join(borders, case == F.col("_of")).withColumn("_in", _chunk_of(cols))
+    return cut, df.join(borders, case == F.col("_of"), "left").withColumn("_chunk", chunk).drop("_of", "_borders")
+
+
+def with_place(df: DataFrame, cols: LogCols, value: str, name: str = "_place",
+               hot_case_rows: int = CHUNK_ROWS, max_borders: int = MAX_BORDERS) -> DataFrame:
+    """Add the event's place (1, 2…) among those of its case that have a ``value``; null for the others."""
+    cut, out = _in_chunks(df, cols, hot_case_rows, max_borders)
+    before = Window.partitionBy("_of").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = cut.groupBy("_of", "_in").agg(F.count(value).alias("_n")).select(
+        "_of", "_in", F.sum("_n").over(before).alias("_before"))
+    here = Window.partitionBy(cols.case, "_chunk").orderBy(*order_keys(cols)) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = out.withColumn("_here", F.count(value).over(here))
+    # at most two rows per border
+    out = out.join(F.broadcast(chunks), (F.col(cols.case) == F.col("_of")) & (F.col("_chunk") == F.col("_in")), "left")
+    place = F.coalesce("_before", F.lit(0)) + F.col("_here")
+    return out.withColumn(name, F.when(F.col(value).isNotNull() & F.col(cols.case).isNotNull(), place)) \
+        .drop("_of", "_in", "_chunk", "_before", "_here")
+
+
 def with_next_event(df: DataFrame, cols: LogCols = CANONICAL, carry: list[str] | None = None,
                     hot_case_rows: int = CHUNK_ROWS, with_case_span: bool = True,
                     case_max: list[str] | None = None, prefix: str | None = None,
@@ -73,9 +100,7 @@ def with_next_event(df: DataFrame, cols: LogCols = CANONICAL, carry: list[str] |
     case_max = list(case_max or [])
     case, ts = cols.case, cols.timestamp
     carry = list(dict.fromkeys([cols.status] if carry is None else carry))
-    borders = F.broadcast(chunk_borders(df, cols, hot_case_rows, max_borders))
-
-    cut = df.join(borders, F.col(case) == F.col("_of")).withColumn("_in", _chunk_of(cols))
+    cut, out = _in_chunks(df, cols, hot_case_rows, max_borders)
     first = F.min(F.struct(order_struct(cols).alias("o"), *[F.col(c).alias(c) for c in carry]))
     chunks = cut.groupBy("_of", "_in").agg(
         first.alias("_first"), F.min(ts).alias("_mn"), F.max(ts).alias("_mx"),
@@ -86,10 +111,6 @@ def with_next_event(df: DataFrame, cols: LogCols = CANONICAL, carry: list[str] |
         F.min("_mn").over(whole).alias("_mn"), F.max("_mx").over(whole).alias("_mx"),
         *[F.max(f"_hm_{c}").over(whole).alias(f"_hm_{c}") for c in case_max])
 
-    chunk = (F.when(F.col(case).isNull(), F.pmod(F.xxhash64(*cols.order_columns()), F.lit(SPREAD)).cast("int"))
-              .when(F.col("_borders").isNull(), F.lit(0)).otherwise(_chunk_of(cols)))
-    out = df.join(borders, F.col(case) == F.col("_of"), "left").withColumn("_chunk", chunk).drop("_of", "_borders")
-
     part = Window.partitionBy(case, "_chunk")
     order = part.orderBy(*order_keys(cols))
     local = {f"_lx_{c}": F.lead(c).over(order) for c in carry}

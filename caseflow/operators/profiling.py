@@ -8,6 +8,7 @@ column.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
@@ -129,9 +130,9 @@ def case_throughput_hours(df: DataFrame, cols: LogCols = CANONICAL) -> DataFrame
                    .alias("throughput_hours")))
 
 
-def throughput_describe(df: DataFrame, cols: LogCols = CANONICAL) -> DataFrame:
-    """Distribution of case throughput (hours) with the 50/90/95 % points."""
-    out = exact_quantiles(case_throughput_hours(df, cols), "throughput_hours", [0.5, 0.9, 0.95], names=["p50", "p90", "p95"],
+def throughput_describe(df: DataFrame, cols: LogCols = CANONICAL, quantiles: Callable = exact_quantiles) -> DataFrame:
+    """Distribution of case throughput (hours) with the 50/90/95 % points, from sketches with ``approx_quantiles``."""
+    out = quantiles(case_throughput_hours(df, cols), "throughput_hours", [0.5, 0.9, 0.95], names=["p50", "p90", "p95"],
                           moments=True)
     return out.select(F.col("count").alias("n_cases"), "mean", "std", "min", "p50", "p90", "p95", "max")
 
@@ -176,6 +177,3 @@ def attribute_values(df: DataFrame, attr: str) -> DataFrame:
     """Values of an event attribute with their counts (nulls dropped)."""
     return df.where(F.col(attr).isNotNull()).groupBy(attr).agg(F.count(F.lit(1)).alias("n")) \
         .orderBy(F.col("n").desc(), F.col(attr))
-
-
-TimestampType = TimestampType

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from caseflow.functions import sketches as S
 from caseflow.operators import labels as L
 from caseflow.operators import rankings as B
 from caseflow.operators import sequence as W
@@ -280,3 +281,34 @@ GROUP BY src, dst ORDER BY n DESC, src, dst""")
 def q_dfg(spark, sf_dir):
     df, cols, _ = load_log(spark, sf_dir, "log_order")
     return B.directly_follows(df, cols)
+
+
+# ---------------------------------------------------------------- approximate aggregates
+
+
+@register("approx_gap_summary", f"""WITH {enriched_sql('log_day')}
+SELECT activity, count(time_to_next) AS n, 1 AS p50_in_bound, 1 AS p95_in_bound, 1 AS n_cases_in_bound
+FROM enr GROUP BY activity""")
+def q_approx_gap_summary(spark, sf_dir):
+    """Per activity from merged daily sketches: median and 95 % gap and number of cases.
+
+    Sketches are randomised, so the row states whether each estimate is within
+    its bound of the exact rank and count (four standard errors for cases).
+    """
+    df, cols, _ = load_log(spark, sf_dir, "log_day")
+    gaps = W.add_time_to_next(df, cols).select("activity", "case_id", "timestamp", "time_to_next")
+    days = S.daily_sketches(gaps, "timestamp", ["activity"], "time_to_next", "case_id")
+    est = S.read_sketches(S.merge_sketches(days, ["activity"]), ["activity"], {"p50": 0.5, "p95": 0.95})
+    both = gaps.join(est.withColumnRenamed("activity", "_of"), F.col("activity").eqNullSafe(F.col("_of")))
+    ranks = both.groupBy("activity").agg(
+        F.max("n").alias("n"), F.max("n_distinct").alias("est"), F.count_distinct("case_id").alias("exact"),
+        *[F.count_if(F.col("time_to_next") < F.col(p)).alias(f"{p}_below") for p in ("p50", "p95")],
+        *[F.count_if(F.col("time_to_next") <= F.col(p)).alias(f"{p}_upto") for p in ("p50", "p95")])
+    slack = F.lit(S.rank_error()) * F.col("n") + 1
+
+    def in_bound(p, share):
+        at = F.col("n") * share
+        return ((at >= F.col(f"{p}_below") - slack) & (at <= F.col(f"{p}_upto") + slack)).cast("int").alias(f"{p}_in_bound")
+    cases = F.abs(F.col("est") - F.col("exact")) <= 4 * S.distinct_error() * F.col("exact") + 1
+    return ranks.select("activity", "n", in_bound("p50", 0.5), in_bound("p95", 0.95),
+                        cases.cast("int").alias("n_cases_in_bound"))
