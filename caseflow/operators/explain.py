@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from caseflow.session import scratch_path
 
-SHAP_ROWS = 1024  # rows explained at a time
+SHAP_ROWS = 10_000       # rows explained at a time
+TASK_ROWS = 20_000       # rows that a task explains: much work a row, whatever the files they come from
+TABLE_FEATURES = 8       # leaves of at most so many features keep a table of all patterns of met conditions
 
 # ---------------------------------------------------------------- importance
 
@@ -150,41 +152,80 @@ def tree_expected_value(tree) -> float:
     return float(np.sum(tree["value"][leaves] * tree["cover"][leaves]) / tree["cover"][0])
 
 
-def _add_leaf(phi, path, value):
-    """Add one leaf's Shapley values to ``phi`` for all rows at once.
+def _leaf_values(shares, met, value):
+    """Shapley values of one leaf's features (columns) for patterns of met conditions (rows).
 
     The leaf is a game in which a feature taken from the row passes its
     conditions or not (``met``), and one not taken passes with its ``share`` of
     the training rows.  Coalitions of the other features are summed by their
     size: the coefficients of the product of ``share + met * t``.
     """
-    m = len(path)
+    m = len(shares)
     weight = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
-    for i, (share, met) in path.items():
-        by_size = np.zeros((len(phi), m))
+    out = np.empty(met.shape)
+    for i in range(m):
+        by_size = np.zeros(met.shape)
         by_size[:, 0] = 1.0
-        for k, (z, o) in path.items():
+        for k in range(m):
             if k != i:
-                taken = by_size[:, :-1] * o[:, None]
-                by_size *= z
+                taken = by_size[:, :-1] * met[:, k, None]
+                by_size *= shares[k]
                 by_size[:, 1:] += taken
-        phi[:, i] += value * (met - share) * (by_size @ weight)
+        out[:, i] = value * (met[:, i] - shares[i]) * (by_size @ weight)
+    return out
 
 
-def tree_shap_batch(tree, x):
-    """One tree's path-dependent SHAP values for every row of ``x`` (rows by features)."""
-    phi = np.zeros(x.shape)
-    todo = [(0, {})]
+def _leaves(tree):
+    """Leaves below a split: the inner nodes with their sides by feature, the shares, and a table of all patterns.
+
+    A row's values at a leaf depend only on which features meet their conditions,
+    so they are worked out once a pattern and looked up by the row's pattern.
+    """
+    out, todo = [], [(0, {})]
     while todo:
         j, path = todo.pop()
-        if tree["left"][j] < 0:
-            _add_leaf(phi, path, tree["value"][j])
-            continue
-        d, left = int(tree["feature"][j]), _goes_left(tree, j, x)
-        share, met = path.get(d, (1.0, True))
-        for child, way in ((int(tree["left"][j]), left), (int(tree["right"][j]), ~left)):
-            todo.append((child, {**path, d: (share * tree["cover"][child] / tree["cover"][j], met & way)}))
-    return phi
+        if tree["left"][j] >= 0:
+            d = int(tree["feature"][j])
+            share, sides = path.get(d, (1.0, ()))
+            for child, way in ((int(tree["left"][j]), True), (int(tree["right"][j]), False)):
+                todo.append((child, {**path, d: (share * tree["cover"][child] / tree["cover"][j], (*sides, (j, way)))}))
+        elif path:
+            shares, m = np.array([share for share, _ in path.values()]), len(path)
+            table = None
+            if m <= TABLE_FEATURES:
+                table = _leaf_values(shares, (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float), tree["value"][j])
+            out.append(([(d, sides) for d, (_, sides) in path.items()], shares, tree["value"][j], table))
+    return out
+
+
+def tree_shap_batch(tree, x):
+    """One tree's path-dependent SHAP values for every row of ``x`` (rows by features)."""
+    if "leaves" not in tree:
+        tree["leaves"] = _leaves(tree)
+    phi = np.zeros(x.shape[::-1])
+    went = {}
+    for j in np.flatnonzero(tree["left"] >= 0):
+        left = _goes_left(tree, j, x)
+        went[j, True], went[j, False] = left, ~left
+    for features, shares, value, table in tree["leaves"]:
+        met = []
+        for _, sides in features:
+            one = went[sides[0]]
+            for side in sides[1:]:
+                one = one & went[side]
+            met.append(one)
+        if table is not None:
+            pattern = met[0].astype(np.intp)
+            for i, one in enumerate(met[1:], 1):
+                pattern |= one.astype(np.intp) << i
+            for i, (d, _) in enumerate(features):
+                phi[d] += table[:, i][pattern]
+        else:
+            distinct, which = np.unique(np.array(met).T, axis=0, return_inverse=True)
+            values = _leaf_values(shares, distinct.astype(float), value)[which.ravel()]
+            for i, (d, _) in enumerate(features):
+                phi[d] += values[:, i]
+    return phi.T
 
 
 def tree_shap(model, df: DataFrame, names: list[str], id_col: str = "case_id",
@@ -204,7 +245,7 @@ def tree_shap(model, df: DataFrame, names: list[str], id_col: str = "case_id",
         trees_, tw_ = bc.value
         for pdf in batches:
             for a in range(0, len(pdf), SHAP_ROWS):
-                x = np.array(pdf["x"].iloc[a:a + SHAP_ROWS].tolist(), dtype=float)
+                x = np.asfortranarray(np.stack(pdf["x"].iloc[a:a + SHAP_ROWS].to_numpy()))
                 phi = sum(w * tree_shap_batch(t, x) for w, t in zip(tw_, trees_))
                 yield pd.DataFrame({id_col: np.repeat(pdf[id_col].to_numpy()[a:a + SHAP_ROWS], x.shape[1]),
                                     "slot": np.tile(np.arange(x.shape[1], dtype=np.int32), len(x)),
@@ -212,6 +253,9 @@ def tree_shap(model, df: DataFrame, names: list[str], id_col: str = "case_id",
 
     id_type = df.schema[id_col].dataType.simpleString()
     src = df.select(id_col, vector_to_array(features).alias("x"))
+    tasks = max(-(-src.count() // TASK_ROWS), 1)
+    if tasks > 1:
+        src = src.repartition(max(tasks, spark.sparkContext.defaultParallelism))
     out = src.mapInPandas(explain, f"{id_col} {id_type}, slot int, value double, shap double")
     name = F.coalesce(F.col("feature"), F.concat(F.lit("feature_"), F.col("slot")))
     out = out.join(names_frame(names), "slot", "left").select(id_col, "slot", name.alias("feature"), "value", "shap")
