@@ -51,7 +51,7 @@ def test_copies_become_counts_and_blocks_do_not_matter(spark, frame, monkeypatch
     assert all(np.array_equal(a, b) for a, b in zip(one.points, three.points))
     a = B.boost(spark, three, est)
     monkeypatch.setattr(B, "CELLS", 300)
-    monkeypatch.setattr(B, "REBUILD", 2)
+    monkeypatch.setattr(B, "CUT_EVERY", 2)
     b = B.boost(spark, three, est)
     assert np.array_equal(_scores(a, frame), _scores(b, frame))
     c = B.boost(spark, one, M.make_estimator("gbt", "y", n_estimators=3, min_data_in_leaf=20))
