@@ -9,6 +9,8 @@ from caseflow.operators import boosting as B
 from caseflow.operators import explain as X
 from caseflow.operators import models as M
 
+from conftest import SF_SMALL
+
 
 @pytest.fixture(scope="module")
 def frame(spark):
@@ -90,3 +92,24 @@ def test_leaf_tables_equal_distinct_patterns(monkeypatch):
     assert np.allclose(a, b, atol=1e-12)
     leaf = np.array([next((2 * i + 1 for i in range(n) if r[i] <= 0.5), 2 * n) for r in x])
     assert np.allclose(a.sum(axis=1) + X.tree_expected_value(t), t["value"][leaf], atol=1e-9)
+
+
+def test_runs_cover_the_unlike_bins_and_only_smaller_siblings_are_counted(spark, frame, monkeypatch):
+    binned = B.bin_rows(frame.where("split = 'train'"), "y", "features")
+    blocks = B._blocks(spark, binned, False).collect()
+    assert sum(int(b["n"].sum()) for b in blocks) == binned.n_train
+    for b in blocks:
+        assert sum(map(len, B._runs(b))) == len(b["flat"]) and list(b["runs"]) == sorted(b["runs"], reverse=True)
+    seen = []
+    best = B._best_splits
+
+    def watch(h, tot, *rest):
+        off, zero = rest[:2]
+        sums = np.add.reduceat(h, off, axis=2)
+        assert (h[:2] == np.rint(h[:2])).all() and (sums[0] <= tot[0][:, None]).all()  # what a parent leaves is whole counts
+        seen.append(tot[0].sum())  # the open nodes of a level
+        return best(h, tot, *rest)
+
+    monkeypatch.setattr(B, "_best_splits", watch)
+    B.boost(spark, binned, M.make_estimator("gbt", "y", n_estimators=2, min_data_in_leaf=1))
+    assert seen[0] == seen[1] == binned.n_train
