@@ -113,3 +113,12 @@ def test_runs_cover_the_unlike_bins_and_only_smaller_siblings_are_counted(spark,
     monkeypatch.setattr(B, "_best_splits", watch)
     B.boost(spark, binned, M.make_estimator("gbt", "y", n_estimators=2, min_data_in_leaf=1))
     assert seen[0] == seen[1] == binned.n_train
+
+
+def test_split_cases_do_not_fold_the_events_again(spark):
+    from caseflow.plans import catalog_models as Q
+    _, cases = Q.prepared(spark, SF_SMALL)
+    split = Q.split_cases(spark, SF_SMALL)
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "events.parquet" not in plan and "Aggregate" not in plan and "Exchange" not in plan
+    assert split.count() == cases.count()
