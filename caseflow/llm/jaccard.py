@@ -15,7 +15,11 @@ collide with many sets, so its signature also takes the next segment, as itself
 and as its one-deletion neighbourhood.  Neighbourhoods cost as many keys as the
 next segment has elements, so a band calls weak what it can pay for.  Both
 members of a linked pair hold the same subset of the matching segment, hence
-take the same choice.
+take the same choice.  The pigeonhole goes on along the ring: from some segment on
+the next ``k`` segments differ in fewer than ``k`` elements together, for every
+``k``.  So each key carries the parity sketch of its ``WINDOW`` segments, and two
+sets meet by a key only if these differ in fewer than ``WINDOW`` places, however
+large the sets are.
 
 *Verification* counts the intersection of whole sets, of pairs that pass a
 parity sketch (see :func:`_may_link`), then one as long as the sets ask for;
@@ -45,6 +49,9 @@ from caseflow.llm import common as C
 EXTRA_KEYS = 0.5        # most keys a segment that neighbourhoods may add on average
 SKETCH_BITS = 1024
 PIECE_BYTES = 256 << 10  # text that a task holds sets of at a time
+WINDOW = 8              # segments of a key's window
+PARTS = 3               # of the key space, shuffled one after the other: all keys take several times the texts' size
+SEEN = 1 << 16          # names of classes that a task remembers to have signed
 
 
 def band_limits(top: int, percent: int) -> list[int]:
@@ -90,6 +97,12 @@ def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Signature keys of several sets: the set's index and the key."""
+    return windowed_signatures(doc, h, sizes, percent)[:2]
+
+
+def windowed_signatures(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray,
+                        percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The set's index, the key, and the parity sketch of the key's window."""
     limits = np.array(band_limits(int(sizes.max(initial=1)) * 100 // percent + 1, percent))
     band = np.searchsorted(limits, sizes)
     found = []
@@ -110,22 +123,31 @@ def signatures(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int)
         value = C.mix64(x ^ np.uint64(0xA0761D6478BD642F))
         total = np.zeros(offset[-1], np.uint64)
         np.add.at(total, gid, value)
+        odd = np.zeros(offset[-1], np.uint64)
+        np.bitwise_xor.at(odd, gid, np.uint64(1) << (value >> np.uint64(58)))
         count = np.bincount(gid, minlength=offset[-1])
         owner = np.repeat(np.arange(len(sizes)), m)
         local = np.arange(offset[-1]) - np.repeat(offset[:-1], m)
         following = np.where(local + 1 == m[owner], offset[:-1][owner], np.arange(offset[-1]) + 1)
         name = C.mix64(salt[owner] + local.astype(np.uint64))
+        window = odd
+        for reach in (1, 2, 4):  # WINDOW segments from each one on
+            window = window ^ window[offset[:-1][owner] + (local + reach) % m[owner]]
+        if (m < WINDOW).any():  # rings that a window would go round: all of the set
+            whole = np.zeros(len(sizes), np.uint64)
+            np.bitwise_xor.at(whole, owner, odd)
+            window = np.where(m[owner] < WINDOW, whole[owner], window)
         weak = count <= np.array([weak_size(int(x), percent) for x in limits])[scheme][owner]
         strong_key = C.mix64(total + name)
         pair_name = C.mix64(total * np.uint64(0x9E3779B97F4A7C15) + name + np.uint64(1))
         pair_key = C.mix64(pair_name + total[following])
-        found += [(owner, np.where(weak, pair_key, strong_key))]
+        found += [(owner, np.where(weak, pair_key, strong_key), window)]
         before = np.empty(offset[-1], np.int64)
         before[following] = np.arange(offset[-1])
         drop = weak[before[gid]]
         g = gid[drop]
-        found += [(d[drop], C.mix64(pair_name[before[g]] + total[g] - value[drop]))]
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        found += [(d[drop], C.mix64(pair_name[before[g]] + total[g] - value[drop]), window[before[g]])]
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _class_name(doc: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -151,17 +173,24 @@ def _profile(width: int):
     return fn
 
 
-def _signed_sets(width: int, percent: int):
-    """Each set's name and its signature keys."""
+def _signed_sets(width: int, percent: int, part: int = 0):
+    """Name, key and window of each set's signatures whose keys are of one part of the key space."""
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for _, texts in C.text_chunks(batches, "text", PIECE_BYTES):
             doc, h = shingles(texts, width)
             sizes = np.bincount(doc, minlength=len(texts))
-            owner, key = signatures(doc, h, sizes, percent)
-            order = np.argsort(owner, kind="stable")
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))])
-            keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), C.signed(key[order]))
-            yield pa.RecordBatch.from_arrays([C.signed(_class_name(doc, h, sizes)), keys], names=["lo", "keys"])
+            name = _class_name(doc, h, sizes)
+            fresh = np.zeros(len(texts), bool)
+            for i, x in enumerate(name.tolist()):  # a copy repeats its class's signatures
+                fresh[i] = x not in seen
+                if len(seen) < SEEN:
+                    seen.add(x)
+            keep = fresh[doc]
+            owner, key, window = windowed_signatures(doc[keep], h[keep], np.where(fresh, sizes, 0), percent)
+            mine = key % np.uint64(PARTS) == part
+            yield pa.RecordBatch.from_arrays([C.signed(name[owner[mine]]), C.signed(key[mine]), C.signed(window[mine])],
+                                             names=["lo", "key", "window"])
     return fn
 
 
@@ -277,6 +306,20 @@ def _fetch(docs: DataFrame, profile: DataFrame, wanted: DataFrame, made) -> Data
             .mapInArrow(made, "lo bigint, grams array<bigint>"))
 
 
+def _same_window(x: str, y: str) -> str:
+    """Whether two windows of one key differ in fewer elements than they have segments, as some of any linked pair do."""
+    return f"bit_count({x} ^ {y}) < {WINDOW}"
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Those of ``rows(lo, key, window)`` whose key has several classes, unless these are two whose windows differ."""
+    group = Window.partitionBy("key")
+    several = rows.select("*", F.min("lo").over(group).alias("low"), F.max("lo").over(group).alias("high")).where("low <> high")
+    there = several.select("*", *(F.max(F.when(F.expr(when), F.col("window"))).over(group).alias(name) for name, when in
+                                  (("wl", "lo = low"), ("wh", "lo = high"), ("between", "lo <> low and lo <> high"))))
+    return there.where(f"between is not null or {_same_window('wl', 'wh')}").select("key", "lo", "window")
+
+
 def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.where(f"{x} <> {y}").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
@@ -293,12 +336,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         _profile(width), "rid bigint, doc_id bigint, n bigint, lo bigint, sketch array<bigint>"), "profile")
     slim = profile.select("rid", "doc_id", "n", "lo")
 
-    # keys are as large as the texts: computed again for each of their two uses rather than kept
-    rows = src.select("text").mapInArrow(_signed_sets(width, percent), "lo bigint, keys array<bigint>").select(
-        "lo", F.explode("keys").alias("key"))
-    shared = scratch.write(rows.groupBy("key").agg(F.min("lo").alias("low"), F.max("lo").alias("high"))
-                           .where("low <> high").select("key"), "shared")
-    star = scratch.write(rows.join(shared, "key").select("key", "lo"), "star")
+    # keys are larger than the texts: computed again for each part of them rather than kept
+    star = None
+    for part in range(PARTS):
+        rows = src.select("text").mapInArrow(_signed_sets(width, percent, part), "lo bigint, key bigint, window bigint")
+        one = scratch.write(_shared(rows), f"star{part}")
+        star = one if star is None else star.unionByName(one)
     # the hub of a group: the class with most shared signatures, as the original of edited copies is
     degree = scratch.write(star.groupBy("lo").agg(F.count("*").alias("degree")), "degree")
     led = star.join(degree, "lo")
@@ -306,38 +349,39 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     # each class first meets the greatest of its groups' hubs only
     first = star.join(hub, "key").where("lo <> hub").groupBy("lo").agg(F.max_by("hub", "top").alias("hub"))
     known = scratch.write(profile.select("lo", "n", "sketch").join(degree.select("lo"), "lo").dropDuplicates(["lo"]), "known")
-    near = _may_link(percent)
-    tried = (_pairs(first, "lo", "hub").join(known.withColumnRenamed("lo", "a").select(
-        "a", F.struct("n", "sketch").alias("x")), "a").join(known.withColumnRenamed("lo", "b").select(
-            "b", F.struct("n", "sketch").alias("y")), "b"))
-    tested = scratch.write(tried.where(near).select("a", "b"), "tested")
+
+    def sketched(pairs):
+        x = known.select(F.col("lo").alias("a"), F.struct("n", "sketch").alias("x"))
+        y = known.select(F.col("lo").alias("b"), F.struct("n", "sketch").alias("y"))
+        return pairs.join(x, "a").join(y, "b").where(_may_link(percent)).select("a", "b")
+    tested = scratch.write(sketched(_pairs(first, "lo", "hub")), "tested")
 
     def fetch(classes, made):
         return _fetch(src, slim, classes, made)
-    scratch.drop("shared", "hub")
+    scratch.drop("hub")
     links = _links(tested, fetch, width, percent, scratch, "links")
     comp = scratch.write(C.components(links, scratch, "cc1"), "comp1")
 
     # pairs that share a group but are in different components so far
-    label = star.select("key", "lo").join(comp.withColumnRenamed("node", "lo"), "lo", "left").select(
-        "key", "lo", F.coalesce("component", "lo").alias("c"))
+    label = star.join(comp.withColumnRenamed("node", "lo"), "lo", "left").select(
+        "key", "lo", "window", F.coalesce("component", "lo").alias("c"))
     label = scratch.write(label.distinct(), "label")
     parts = label.groupBy("key", "c").agg(F.count("*").alias("m"))
     open_keys = scratch.write(
         parts.groupBy("key").agg(F.max(F.struct("m", "c")).alias("major"), F.count("*").alias("k"))
         .where("k > 1").select("key", F.col("major.c").alias("major")), "open")
-    rest = scratch.write(label.join(open_keys, "key").join(known, "lo"), "rest")
-    member = rest.select("key", F.struct("lo", "c", "n", "sketch").alias("x"))
-    minor = rest.where("c <> major").select("key", F.struct("lo", "c", "n", "sketch").alias("y"))
-    more = _pairs(member.join(minor, "key").where(f"x.c <> y.c and {near}")
+    rest = scratch.write(label.join(open_keys, "key"), "rest")
+    member = rest.select("key", F.struct("lo", "c", "window").alias("x"))
+    minor = rest.where("c <> major").select("key", F.struct("lo", "c", "window").alias("y"))
+    more = _pairs(member.join(minor, "key").where(f"x.c <> y.c and {_same_window('x.window', 'y.window')}")
                   .select(F.col("x.lo").alias("lo"), F.col("y.lo").alias("lo2")), "lo", "lo2")
-    more = scratch.write(more.join(tested, ["a", "b"], "left_anti"), "more")
+    more = scratch.write(sketched(more.join(tested, ["a", "b"], "left_anti")), "more")
     comp2 = C.components(links.unionByName(_links(more, fetch, width, percent, scratch, "more_links")), scratch, "cc2")
 
     named = scratch.write(slim.join(comp2.withColumnRenamed("node", "lo"), "lo", "left")
                           .select("rid", "doc_id", "n", F.coalesce("component", "lo").alias("c")), "named")
     names = scratch.write(named.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("name")), "names")
-    scratch.drop("profile", "star", "degree", "known", "tested", "label", "open", "rest", "more")
+    scratch.drop("profile", *(f"star{part}" for part in range(PARTS)), "degree", "known", "tested", "label", "open", "rest", "more")
     return named.join(names, "c", "left").select(
         "rid", "doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component"),
         F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -179,10 +179,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     counter = "copy"
     while counter in docs.columns:
         counter += "_"
-    same = Window.partitionBy("key").orderBy(F.lit(1))
-    plan = mix(docs, whole=True, **options).where("copies > 0").select("key", F.col("copies").alias("n"))
-    plan = plan.withColumn("k", F.row_number().over(same))
+    # documents of one key share their rate, so their copies differ by one at most
+    plan = mix(docs, whole=True, **options).groupBy("key").agg(F.sum("copies").alias("all"), F.count("*").alias("m")).where(F.col("all") > 0)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                        F.xxhash64("doc_id", "text", "source").alias("key"))
-    rows = rows.withColumn("k", F.row_number().over(same))  # equal rows are paired one to one
-    return rows.join(plan, ["key", "k"]).select("row.*", F.explode(F.expr("sequence(1L, n)")).alias(counter))
+    # texts are shuffled once: equal rows are numbered where the join has put them
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(1)))
+    n = F.expr("all div m") + F.when(nth <= F.expr("all % m"), 1).otherwise(0)
+    dealt = rows.join(plan, "key").withColumn("n", n)
+    return dealt.where("n > 0").select("row.*", F.explode(F.expr("sequence(1L, n)")).alias(counter))
